@@ -8,18 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipquery.llm.common import table
 from clipquery.llm.exact_dedup import exact_dedup
+from clipquery.llm.license_scan import license_scan
 from clipquery.llm.mixing import mix
+from clipquery.llm.packing import pack
+from clipquery.llm.token_counts import token_counts
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op6_token_counts, op7_pack_sequences, op9_license_scan, op10_mix_sources)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": """
