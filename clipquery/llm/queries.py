@@ -13,6 +13,7 @@ from clipquery.llm.license_scan import license_scan
 from clipquery.llm.mixing import mix
 from clipquery.llm.near_dedup import near_components
 from clipquery.llm.packing import pack
+from clipquery.llm.suffix_dedup import suffix_dedup
 from clipquery.llm.token_counts import token_counts
 from clipquery.llm.topk_search import top_k
 
@@ -28,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_near_components, op6_token_counts, op7_pack_sequences, op8_topk_search, op9_license_scan, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op4_near_components, op6_token_counts, op7_pack_sequences, op8_topk_search, op9_license_scan, op10_mix_sources)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": """
