@@ -128,6 +128,17 @@ def likeliest(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 80) -> DataFrame:
+    """Near-duplicate components, one row per document: ``id_col, n_shingles, component_id, kept``.
+
+    The component's id is the smallest id that links reach, the row's own if it has no shingles; ``kept`` is whether
+    it is that row. The rest is said at :func:`linked`. Other columns are ignored; an empty table gives an empty
+    result.
+    """
+    out = linked(docs, id_col, text_col, words, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Components of documents whose word-shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     1. Sketch: one pass over the texts gives each row its set's size, 128-bit signature and registers. Rows of one
@@ -140,9 +151,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        all of them are verified at once. It ends when no bucket has untested pairs across components, so within
        buckets no link is lost, and nothing is capped.
 
-    Returns ``id_col, n_shingles, component_id, kept``: the smallest id that links reach, the row's own if it has no
-    shingles, and whether it is that row. Null ids are ignored in minima; null and empty texts have no shingles and
-    no links. Repeated rows belong to one component. Other columns are ignored; an empty table gives an empty result.
+    Returns ``id, key, n, label, component_id``: the text's digest, the size of its set, a number of the component
+    (null without shingles) and the smallest id in it (the row's own without shingles). Null ids are ignored in
+    minima; null and empty texts have no shingles and no links. Repeated rows belong to one component.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -217,10 +228,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
     named = vertices.select("v", "sign", "least").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "label").select("sign", "component_id"), "near-components")
+    named = materialize(named.join(least, "label").select("sign", "label", "component_id"), "near-components")
     # A sign stands for one vertex; the sketches' side may hold a hot one, which adaptive joins split.
-    out = sketched.select("id", "n", "sign").join(named, "sign", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    out = sketched.select("id", "key", "n", "sign").join(named, "sign", "left")
+    return out.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def vertex_sets(keyed: DataFrame, vertices: DataFrame, words: int) -> DataFrame:
@@ -259,14 +270,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one row of each component, the one of the smallest id; all columns as they were.
+    """The documents with one row of each component, all columns as they were.
 
-    Documents without words are no copies of each other and stay, repeated rows of one id included; of repeated rows
-    with words one stays, and of a component whose ids are all null one row.
+    The row of the smallest id stays, null ids last; of repeated rows one stays. Documents without words are no
+    copies of each other: all of them stay.
     """
-    keep = near_components(docs, id_col, text_col, words, percent).filter((F.col("n_shingles") == 0) | F.col("kept") | F.col("component_id").isNull())
-    keep = keep.select(F.col(id_col).alias("__id"), (F.col("n_shingles") == 0).alias("__bare")).distinct()
-    d = docs.alias("d").join(keep.alias("k"), F.col(f"d.{id_col}").eqNullSafe(F.col("k.__id"))).select("d.*", "k.__bare")
-    turn = F.row_number().over(Window.partitionBy(id_col, F.col("__bare"), F.when(F.col("__bare"), F.xxhash64(*docs.columns)))
-                               .orderBy(F.coalesce(F.length(text_col), F.lit(0)).desc()))
-    return d.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    best = F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("key").alias("key"))
+    keep = linked(docs, id_col, text_col, words, percent).filter("n > 0").groupBy("label").agg(F.min(best).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.key").alias("__key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    bare = ~text.rlike("[^\\x20\\x09-\\x0D]")
+    full = docs.filter(~bare).withColumn("__digest", F.unhex(F.md5(text))).alias("d")
+    left = full.join(keep, (F.col("__digest") == F.col("__key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("__id")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__digest", id_col).orderBy(F.lit(1)))
+    return left.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns).unionByName(docs.filter(bare))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipquery.llm import quality, toxicity
 from clipquery.llm.common import table
 from clipquery.llm.exact_dedup import exact_dedup
+from clipquery.llm.labelled import remainder
 from clipquery.llm.license_scan import license_scan
 from clipquery.llm.mixing import mix
 from clipquery.llm.near_dedup import near_components
@@ -25,6 +27,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder("doc_id", 5)
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return toxicity.score(docs, lexicon).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,12 @@ def op4_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), remainder("doc_id", 4)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 2)
+    return quality.score(docs, model).select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -57,7 +71,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op4_near_components, op6_token_counts, op7_pack_sequences, op8_topk_search, op9_license_scan, op10_mix_sources)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_suffix_dedup, op4_near_components, op5_quality, op6_token_counts, op7_pack_sequences, op8_topk_search, op9_license_scan, op10_mix_sources)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": """
