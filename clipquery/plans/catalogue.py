@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from clipquery.plans import search
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = (search,)
+QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
