@@ -147,9 +147,9 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
        with it, so a bucket of n gives n - 1 pairs, and near copies mostly choose the same pivot in all bands.
     3. Estimate and verify: sizes, then the likeliest similarity, rule out pairs; the rest are verified on full sets.
     4. Components of the links. A bucket that still holds several components may hide a link between members that
-       aren't its pivot, so such buckets go another round without that pivot. Once pairs across components are few,
-       all of them are verified at once. It ends when no bucket has untested pairs across components, so within
-       buckets no link is lost, and nothing is capped.
+       aren't its pivot. Buckets of that kind that share members form a cluster, and within clusters all pairs across
+       components are tested, in tiles of bounded size (:func:`crossing`). So no link within a bucket is lost, and
+       nothing is capped, while members of one component are never paired again.
 
     Returns ``id, key, n, label, component_id``: the text's digest, the size of its set, a number of the component
     (null without shingles) and the smallest id in it (the row's own without shingles). Null ids are ignored in
@@ -199,33 +199,9 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     in_buckets = members.select(F.col("v").alias("need")).distinct()
     sets = materialize(vertex_sets(keyed, vertices.join(in_buckets, F.col("v") == F.col("need"), "left_semi"), words), "near-sets")
     links = materialize(verified(pairs, sets, percent), "near-links")
-    tested = pairs
-    left = members.filter("v <> p").select("bucket", "v", "n")
-    labels = components(links)
-    while True:
-        labels = materialize(labels, "near-labels")
-        named = left.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).filter("lo < hi")
-        open_ = materialize(open_.select("bucket", "rows"), "near-open")
-        n, pairs_left = open_.agg(F.count("*"), F.sum(F.col("rows") * (F.col("rows") - 1) / 2)).first()
-        if not n:
-            break
-        named = materialize(named.join(open_.select("bucket"), "bucket"), "near-left")
-        if pairs_left <= max(100_000, 2 * sets.count()):
-            a, b = (named.select("bucket", *(F.col(c).alias(s + x) for c, x in (("v", ""), ("n", "n"), ("label", "l")))) for s in "ab")
-            new, left = a.join(b, "bucket").filter("a < b and al <> bl"), None
-        else:
-            pivot = named.groupBy("bucket").agg(F.min(F.struct("v", "n", "label")).alias("p"))
-            met = named.join(pivot, "bucket")
-            new = met.filter("label <> p.label").select(F.col("p.v").alias("a"), F.col("v").alias("b"), F.col("p.n").alias("an"), F.col("n").alias("bn"))
-            left = materialize(met.filter("v <> p.v").select("bucket", "v", "n"), "near-rest")
-        new = materialize(fits(new).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = verified(new, sets, percent)
-        links, tested = materialize(links.unionAll(found), "near-links"), tested.unionAll(new)
-        labels = components(links)
-        if left is None:
-            labels = materialize(labels, "near-labels")
-            break
+    first = materialize(components(links), "near-labels")
+    links = links.unionAll(materialize(crossing(members, first, sets, percent), "near-crossing"))
+    labels = materialize(components(links), "near-labels")
     named = vertices.select("v", "sign", "least").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(least, "label").select("sign", "label", "component_id"), "near-components")
@@ -261,14 +237,75 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ar, br = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.int16).reshape(-1, REGISTERS) for i in (4, 5))
                 ok = likeliest(ar, br, an, bn) >= percent / 100 - SLACK
                 for i in np.flatnonzero(ok):
-                    x, y = (np.frombuffer(b.column(c)[i].as_buffer(), dtype=U64) for c in (6, 7))
-                    common = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                    ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                    ok[i] = similar(b.column(6)[int(i)], b.column(7)[int(i)], percent)
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links ``a, b`` that join components of ``labels`` inside the clusters of buckets that hold several.
+
+    A cluster's vertices are dealt to blocks in order of their components, and pairs of blocks are tiles; tiles of a
+    single component are left out. So however large one component is, only its meetings with others are tested.
+    """
+    named = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    open_ = materialize(named.join(several, "bucket").select("v", "p", "label").distinct(), "near-open")
+    cluster = components(open_.select(F.col("v").alias("a"), F.col("p").alias("b")))
+    rows = open_.select("v", "label").distinct().join(cluster.withColumnRenamed("label", "cluster"), "v")
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "v")) - 1
+    rows = materialize(rows.withColumn("block", F.floor(place / block).cast("int")), "near-blocks")
+    blocks = rows.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (blocks.select("cluster", *(F.col(c).alias(c + s) for c in ("block", "lo", "hi"))) for s in "xy")
+    tiles = x.join(y, "cluster").filter("blockx <= blocky and not (lox = hix and loy = hiy and lox = loy)").select("cluster", "blockx", "blocky", F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"))
+    held = rows.join(tiles, ["cluster", "block"]).join(sets, "v").select("cluster", "blockx", "blocky", "block", "v", "label", "n", "regs", "hashes")
+
+    def test(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by([("block", "ascending"), ("v", "ascending")])
+        block_, v, label, n = (t.column(c).to_numpy() for c in ("block", "v", "label", "n"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), dtype=np.int16).reshape(-1, REGISTERS)
+        hashes = t.column("hashes")
+        one = block_[0] == block_[-1]
+        left, right = (np.arange(len(v)),) * 2 if one else (np.flatnonzero(block_ == block_[0]), np.flatnonzero(block_ != block_[0]))
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in left:  # sizes and shared registers first: both are quick for a row of the tile
+            j = right[right > i] if one else right
+            j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            shared = (regs[j] == regs[i]).sum(1)
+            ok = shared >= (percent / 100 - SLACK) * REGISTERS
+            near.append((np.full(ok.sum(), i), j[ok], shared[ok]))
+        i, j, shared = (np.concatenate(c) for c in zip(*near))
+        ok = likeliest(regs[i], regs[j], n[i], n[j]) >= percent / 100 - SLACK if len(i) else np.zeros(0, dtype=bool)
+        i, j, shared = i[ok], j[ok], shared[ok]
+        parent = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for k in np.argsort(-shared, kind="stable"):  # likeliest first; components that a link has joined need no other
+            x, y = root(int(label[i[k]])), root(int(label[j[k]]))
+            if x != y and similar(hashes[int(i[k])], hashes[int(j[k])], percent):
+                parent[x] = y
+                out[0].append(int(v[i[k]]))
+                out[1].append(int(v[j[k]]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return held.groupBy("cluster", "blockx", "blocky").applyInArrow(test, "a long, b long")
+
+
+def similar(x: pa.Scalar, y: pa.Scalar, percent: int) -> bool:
+    """Whether two sets of sorted distinct hashes have a Jaccard similarity of ``percent`` / 100 or more."""
+    a, b = (np.frombuffer(s.as_buffer(), dtype=U64) for s in (x, y))
+    every = np.concatenate((a, b))
+    every.sort()
+    common = int((every[1:] == every[:-1]).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one row of each component, all columns as they were.
 
