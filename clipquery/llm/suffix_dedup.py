@@ -161,39 +161,51 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[new], last[np.concatenate((new[1:], [True]))]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """``(texts, spans)``: distinct texts ``sha, text, copies``, and ``sha, first, last``, the spans (bytes, half-open)
-    of texts in which every byte is covered by a ``length``-byte string that also starts elsewhere.
+#: Rows of spans up to this many are broadcast to the texts that they cut; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
-    A text that several rows share needs no search: if it is long enough, all of it is repeated.
+
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``key, text``: half of the text's SHA-256, which stands for the text everywhere below."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), text.alias("text"))
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+    """``key, spans``: for texts that hold any, maximal spans ``first, last`` (bytes, half-open) in which every byte is
+    covered by a ``length``-byte string that also starts elsewhere in the distinct texts.
+
+    A text that several rows share is searched once; the caller knows that it is repeated as a whole.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = keyed(docs, text_col)
     # The map side leaves one row per text and task, so a hot text is no hot group.
-    texts = rows.groupBy(F.unhex(F.sha2("text", 256)).alias("sha"), "text").agg(F.count("*").alias("copies"))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
-                data, at = text_bytes(b.column(0))
-                out: list[list] = [[], [], [], [], []]
+                data, at = text_bytes(b.column(1))
+                who: list[int] = []
+                out: list[list[np.ndarray]] = [[], [], [], []]
                 for i in range(b.num_rows):
                     d = data[at[i] : at[i + 1]]
                     if len(d) >= length:
                         first, place, value = anchors(d, length)
-                        out[0] += [hashlib.sha256(d.tobytes()).digest()] * len(first)
+                        who += [i] * len(first)
                         for k, x in enumerate((value, place, first, np.append(first[1:], len(d) - length + 1))):
-                            out[k + 1].append(x)
-                cols = [pa.array(out[0], pa.binary()), *(pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64()) for x in out[1:])]
-                yield pa.RecordBatch.from_arrays(cols, ["sha", "anchor", "place", "first", "last"])
-
-    # A copy's anchors are the same rows again: counted once by (text, place).
-    seen = rows.mapInArrow(find, "sha binary, anchor long, place long, first long, last long")
-    seen = materialize(seen.groupBy("anchor", "sha", "place", "first", "last").agg(F.count("*").alias("copies")), "suffix-anchors")
+                            out[k].append(x)
+                value, place, first, last = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
+                cols = [pa.array(value), b.column(0).take(pa.array(who, pa.int32())), *(pa.array(x.astype(np.int32)) for x in (place, first, last))]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "key", "place", "first", "last"])
+
+    # A copy's anchors are the same rows again and count once.
+    seen = rows.mapInArrow(find, "anchor long, key binary, place int, first int, last int")
+    seen = materialize(seen.groupBy("anchor", "key", "place").agg(F.min("first").alias("first"), F.min("last").alias("last")), "suffix-anchors")
     shared = materialize(seen.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1").select("anchor"), "suffix-shared")
-    wanted = seen.join(shared, "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("at"))
+    wanted = seen.join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -202,25 +214,25 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
                 data, at = text_bytes(b.column(1))
                 lists = b.column(2)
                 f = lists.flatten()
-                anchor, place, first, last = (f.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                anchor, place, first, last = (f.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
                 n = np.asarray(lists.value_lengths())
                 base = np.repeat(at[:-1], n)
                 raw = data.tobytes()
                 contexts = [raw[x:y] for x, y in zip((base + first).tolist(), (base + last - 1 + length).tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(anchor), pa.array(first), pa.array(place - first), pa.array(contexts, pa.binary())], ["sha", "anchor", "first", "left", "context"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(anchor), pa.array(first), pa.array(place - first), pa.array(contexts, pa.binary())], ["key", "anchor", "first", "left", "context"])
 
-    contexts = texts.join(wanted, "sha").select("sha", "text", "at").mapInArrow(cut, "sha binary, anchor long, first long, left long, context binary")
+    contexts = texts.join(wanted, "key").select("key", "text", "at").mapInArrow(cut, "key binary, anchor long, first long, left long, context binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            sha, anchor, first, left, context = zip(*held)
+            key, anchor, first, left, context = zip(*held)
             who, lo, hi = repeated_ends(np.array(anchor), list(context), np.array(left), length)
             start = np.array(first)[who]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([sha[i] for i in who.tolist()], pa.binary()), pa.array(start + lo - length + 1), pa.array(start + hi + 1)], ["sha", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array([key[i] for i in who.tolist()], pa.binary()), pa.array(start + lo - length + 1), pa.array(start + hi + 1)], ["key", "first", "last"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -233,8 +245,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
         if held:
             yield flush()
 
-    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, "sha binary, first long, last long")
-    return texts, spans
+    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, "key binary, first long, last long")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        for b in batches:
+            found = [merged(np.array([x["first"] for x in r]), np.array([x["last"] for x in r])) for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"first": x, "last": y} for x, y in zip(f.tolist(), g.tolist())] for f, g in found], kind)], ["key", "spans"])
+
+    listed = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return materialize(listed.mapInArrow(join, "key binary, spans array<struct<first: long, last: long>>"), "suffix-spans")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
@@ -254,8 +274,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have 0 bytes. Ids may be null or repeated: rows count as separate documents. Other columns
     are ignored; an empty table gives an empty result.
     """
-    texts, spans = repeated_spans(docs, text_col, length)
-    listed = materialize(spans.groupBy("sha").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "suffix-spans")
+    spans = repeated_spans(docs, text_col, length)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -263,23 +282,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 b = whole.slice(lo, 256)
                 data, at = text_bytes(b.column(1))
                 raw = data.tobytes()
-                rows = []
-                for i, (copies, found) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                    text = raw[at[i] : at[i + 1]]
-                    if copies > 1 and len(text) >= length:
-                        found = [{"first": 0, "last": len(text)}]
-                    if not found:
-                        rows.append((len(text), 0, 0, text))
-                        continue
-                    first, last = merged(np.array([x["first"] for x in found]), np.array([x["last"] for x in found]))
-                    left = b"".join(text[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), len(text)]))
-                    rows.append((len(text), len(text) - len(left), len(first), left))
-                cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())]
-                if with_text:
-                    cols.append(pa.array([r[3] for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
-
-    done = texts.join(listed, "sha", "left").select("sha", "text", "copies", "spans")
-    done = materialize(done.mapInArrow(keep, "sha binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text), "suffix-texts")
-    ids = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)).alias("sha"))
-    return ids.join(done, "sha").drop("sha").withColumnRenamed("id", id_col)
+                left = []
+                for i, found in enumerate(b.column(2).to_pylist()):
+                    cuts = [at[i], *(at[i] + x for s in found or () for x in (s["first"], s["last"])), at[i + 1]]
+                    left.append(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
+                cols = [b.column(0), pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(left, pa.binary())] * with_text], ["key", "kept_sha256", *["kept"] * with_text])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sha = F.sha2(text, 256)
+    ids = docs.select(F.col(id_col).alias("id"), F.unhex(F.substring(sha, 1, 32)).alias("key"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
+    copies = ids.groupBy("key").agg(F.count("*").alias("copies"))
+    rows = ids.join(copies, "key").join(spans, "key", "left")
+    # Only texts of which a part goes are read again.
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"]), F.lit(0).cast("long"))
+    all_ = (F.col("n_bytes") >= length) & (F.col("copies") > 1)
+    rows = rows.withColumn("n_removed", F.when(all_, F.col("n_bytes")).otherwise(removed)).withColumn("n_spans", F.when(all_, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long")).drop("spans", "copies")
+    cut = spans if spans.count() > BROADCAST_ROWS else F.broadcast(spans)
+    every = keyed(docs, text_col)
+    if with_text:
+        every = every.groupBy("key").agg(F.first("text").alias("text")).join(spans, "key", "left")
+    else:
+        every = every.join(cut, "key").dropDuplicates(["key"])
+    done = every.select("key", "text", "spans").mapInArrow(keep, "key binary, kept_sha256 string" + ", kept binary" * with_text)
+    out = rows.join(done, "key", "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    whole = F.col("n_removed") == F.col("n_bytes")
+    kept = F.when(whole, none).when(F.col("n_removed") == 0, F.col("sha")).otherwise(F.col("kept_sha256"))
+    more = [F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] * with_text
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), *more)
