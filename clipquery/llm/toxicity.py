@@ -20,6 +20,8 @@ from clipquery.llm.labelled import sample, texts_of
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of stems that are tried as terms, and the least number of sampled toxic documents that hold a term.
 STEMS, SUPPORT = range(3, 13), 4
+#: Share of the sampled toxic documents that hold a word whose misspellings are looked for.
+COMMON = 0.02
 #: Terms at most, by how many toxic documents hold them.
 TERMS = 2000
 #: Toxic documents that are taken to hold a misspelling of a word before any is seen.
@@ -69,6 +71,37 @@ class Trie:
         return best
 
 
+class Nearby:
+    """Terms within one edit of a word, or two for terms of nine letters or more.
+
+    Most words are ruled out by their ends: one edit leaves a term's first half at the word's start or its second half
+    at the word's end, two edits leave its first or last third there or its middle third nearby. Only words that pass
+    walk their automaton through the trie.
+    """
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms = terms
+        self.long = [t for t in terms if len(t) >= 9]
+        self.tries = Trie(terms), Trie(self.long)
+        self.least, self.most = min(map(len, terms), default=9) - 1, max(map(len, terms), default=-9) + 2
+        third = [(t[: len(t) // 3], t[len(t) // 3 : -(len(t) // 3)], t[-(len(t) // 3) :]) for t in self.long]
+        heads = {t[: len(t) // 2] for t in terms} | {a for a, _, _ in third}
+        tails = {t[len(t) // 2 :] for t in terms} | {c for _, _, c in third}
+        self.heads, self.tails = tuple(heads), tuple(tails)
+        self.inner = re.compile("|".join(map(re.escape, sorted({m for _, m, _ in third})))) if third else None
+
+    def best(self, word: str) -> tuple[int, str] | None:
+        if not self.least <= len(word) <= self.most:
+            return None
+        if not (word.startswith(self.heads) or word.endswith(self.tails) or (self.inner and len(word) >= 7 and self.inner.search(word))):
+            return None
+        if found := self.tries[0].near(word, 1):
+            return found[0], self.terms[found[1]]
+        if self.long and len(word) >= 7 and (found := self.tries[1].near(word, 2)):
+            return found[0], self.long[found[1]]
+        return None
+
+
 @dataclass
 class Lexicon:
     """Words and stems with the log-odds of a toxic document that holds them, those of misspelled words by (word,
@@ -82,12 +115,7 @@ class Lexicon:
 
     def matcher(self) -> Recent:
         """word -> (weight, distance, term) of its best term, or () without one."""
-        terms = [w for w in sorted(self.words) if len(w) >= 5]
-        trie = {1: Trie(terms), 2: Trie([w for w in terms if len(w) >= 9])}
-        longest = max(map(len, terms), default=0)
-        # A term within one edit keeps one of its halves, within two one of its thirds: a quick first test.
-        parts = {p for w in terms for k in ((2,) if len(w) < 9 else (2, 3)) for p in (w[i * len(w) // k : (i + 1) * len(w) // k] for i in range(k))}
-        hint = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
+        near = Nearby(sorted({term for term, _ in self.loose}))
         stem = re.compile("|".join(map(re.escape, sorted(self.stems, key=len, reverse=True)))) if self.stems else None
 
         def match(word: str) -> tuple:
@@ -95,13 +123,8 @@ class Lexicon:
                 return self.words[word], 0, word
             if stem and (m := stem.match(word)):
                 return self.stems[m[0]], 0, m[0]
-            n = len(word)
-            if hint and 4 <= n <= longest + 2 and hint.search(word):
-                for most in (1, 2):
-                    if found := trie[most].near(word, most):
-                        names = terms if most == 1 else [w for w in terms if len(w) >= 9]
-                        name = names[found[1]]
-                        return self.loose.get((name, found[0]), 0.0), found[0], name
+            if found := near.best(word):
+                return self.loose[found[1], found[0]], *found
             return ()
 
         return Recent(match)
@@ -186,7 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     ratio = (zeros / clean) / (ones / toxic)
     found = texts.mapInArrow(patterns, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     found = found.filter((F.col("t") >= SUPPORT) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
-    lexicon = Lexicon(*learn_terms([tuple(r) for r in found.collect()], toxic, clean, ratio))
+    rows = [tuple(r) for r in found.collect()]
+    lexicon = Lexicon(*learn_terms(rows, toxic, clean, ratio))
+    often = {p for p, t, _ in rows if t >= max(SUPPORT, COMMON * toxic)}
+    lexicon.loose = {(w, d): 0.0 for w in lexicon.words if w in often and len(w) >= 5 for d in (1, 2)[: 1 + (len(w) >= 9)]}
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = lexicon.matcher()
@@ -198,10 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     seen = texts.mapInArrow(misspelled, "term string, distance int, t long, c long").groupBy("term", "distance").agg(F.sum("t"), F.sum("c"))
     odds = {(term, d): (t, c) for term, d, t, c in seen.collect()}
-    for term, x in lexicon.words.items():
-        for d in (1, 2):  # at first as if PRIOR toxic documents held a misspelling
-            t, c = odds.get((term, d), (0, 0))
-            lexicon.loose[term, d] = max(0.0, min(x - 1, math.log((min(t, PRIOR) + PRIOR) / (2 * c * ratio + 0.5))))
+    for term, d in lexicon.loose:  # at first as if PRIOR toxic documents held a misspelling
+        t, c = odds.get((term, d), (0, 0))
+        lexicon.loose[term, d] = max(0.0, min(lexicon.words[term] - 1, math.log((min(t, PRIOR) + PRIOR) / (2 * c * ratio + 0.5))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = lexicon.matcher()
