@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: Letters, digits and underscores, hyphens inside; character classes, as \\w and \\b differ between engines.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_-]*[\p{L}\p{N}_])?"
-PROCEDURAL = ("how to", "how do", "steps", "procedure", "perform", "technique", "exercise", "method")
-DIAGNOSTIC = ("symptom", "sign", "diagnose", "identify", "check for", "detect", "test for")
-FACTOID = ("what is", "when", "where", "who", "which", "define", "cause")
+# Keywords of question types, and those by which a text suits a type.
+PROCEDURAL = ("how to", "steps", "procedure", "perform", "examine")
+DIAGNOSTIC = ("diagnose", "identify", "assess", "evaluate", "symptoms")
+FACTOID = ("what is", "what are", "when", "where", "which")
 ALIGNMENT = {
-    "procedural": ("step", "first", "then", "next", "finally", "procedure"),
-    "diagnostic": ("symptom", "sign", "indicate", "diagnose", "check"),
-    "factoid": ("is", "are", "means", "refers", "defined"),
+    "procedural": ("step", "first", "then", "next", "finally", "procedure", "method"),
+    "diagnostic": ("symptom", "sign", "diagnosis", "assess", "evaluate", "test"),
+    "factoid": ("is", "are", "definition", "means", "called", "refers"),
 }
 NEGATIONS = ("not", "never", "avoid", "no", "cannot")
 

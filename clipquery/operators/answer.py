@@ -25,22 +25,37 @@ def cost(tokens_in: Column, tokens_out: Column, per_in: float = 0.15e-6, per_out
 
 
 def gate(ctx: DataFrame, least_best: float = 0.45, least_mean: float = 0.35) -> DataFrame:
-    """Whether a query's contexts (query_id, score) suffice for an answer, and what to say if not."""
-    g = ctx.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    """Whether a query's contexts (query_id, score) suffice for an answer, and what to say if not.
+
+    A score is the first of several columns that isn't 0 or null; see :func:`first_score`.
+    """
+    g = ctx.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 9).alias("mean"))
     enough = (F.col("best") >= least_best) & (F.col("mean") >= least_mean)
-    why = F.when(enough, None).when(F.col("best") < least_best, "no close match").otherwise("matches too weak on average")
+    why = F.when(enough, None).when(F.col("best") < 0.35, "very low relevance").when(F.col("best") < least_best, "moderate relevance, too little detail").otherwise("low relevance on average")
     return g.select("query_id", "best", "mean", enough.alias("sufficient"), why.alias("refusal"), F.round(confidence(F.col("best")), 6).alias("confidence"))
 
 
-def prompts(ctx: DataFrame, k: int = 3, chars: int = 400) -> DataFrame:
-    """``query_id, query_type, prompt`` from the first ``k`` ranked contexts (question, text, start, end)."""
-    line = F.concat(F.lit("[Evidence "), F.col("rank").cast("string"), F.lit("] ("), clock_range(F.col("start"), F.col("end")), F.lit(") "), snippet(F.coalesce("text", F.lit("")), chars))
-    g = ctx.filter(F.col("rank") <= k).groupBy("query_id", "question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("evidence"))
+def first_score(*columns: str) -> Column:
+    """The first score that is neither null nor 0, else 0."""
+    return F.coalesce(*(F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0))
+
+
+def evidence(ctx: DataFrame) -> DataFrame:
+    """What an answer shows of its contexts: the precise time range where there is one, else the coarse one."""
+    precise = F.col("precise_start").isNotNull() & F.col("precise_end").isNotNull()
+    at = lambda side: F.when(precise, F.col(f"precise_{side}")).otherwise(F.col(side))
+    return ctx.select("query_id", "segment_id", "video_id", at("start").alias("start"), at("end").alias("end"), F.col("combined_score").alias("relevance_score"), clock_range(at("start"), at("end")).alias("formatted_time"))
+
+
+def prompts(ctx: DataFrame, k: int = 3, chars: int = 350) -> DataFrame:
+    """``query_id, query_type, prompt`` from the first ``k`` ranked contexts (video_id, question, text, start, end)."""
+    line = F.concat(F.lit("[Video "), F.col("rank").cast("string"), F.lit(": "), F.col("video_id").cast("string"), F.lit(", Time: "), clock_range(F.col("start"), F.col("end")), F.lit("]\nContent: "), snippet(F.coalesce("text", F.lit("")), chars))
+    g = ctx.filter(F.col("rank") <= k).groupBy("query_id", "question").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("evidence"))
     kind = question_type(F.col("question"))
     ask = F.lit("")
     for t, say in TEMPLATES.items():
         ask = F.when(kind == t, say).otherwise(ask)
-    return g.select("query_id", kind.alias("query_type"), F.concat(F.lit("Question: "), "question", F.lit("\n"), "evidence", F.lit("\n"), ask).alias("prompt"))
+    return g.select("query_id", kind.alias("query_type"), F.concat(F.lit("Question: "), "question", F.lit("\n\nVideo Evidence:\n"), "evidence", F.lit("\n\nInstructions:\n"), ask, F.lit("\n\nAnswer:")).alias("prompt"))
 
 
 def cite(answer: Column, times: Column, most: int = 10) -> Column:
@@ -52,13 +67,13 @@ def cite(answer: Column, times: Column, most: int = 10) -> Column:
     for i in range(1, most + 1):
         t = F.coalesce(F.try_element_at(times, F.lit(i)), F.lit(None))
         full = F.regexp_replace(out, F.lit(rf"\[Evidence {i}\]"), F.concat(F.lit(f"[Evidence {i}, "), t, F.lit("]")))
-        out = F.coalesce(F.regexp_replace(full, F.lit(rf"(?<!\[)Evidence {i}(?![\d,\]])(?!\s*\()"), F.concat(F.lit(f"Evidence {i} ("), t, F.lit(")"))), out)
+        out = F.coalesce(F.regexp_replace(full, F.lit(rf"(?<!\[)Evidence {i}(?![\d\]])(?!\s*\()"), F.concat(F.lit(f"Evidence {i} ("), t, F.lit(")"))), out)
     return out
 
 
 def extractive(prompt: Column) -> Column:
-    """The stand-in for a language model: the first evidence line of the prompt."""
-    return F.coalesce(F.nullif(F.regexp_extract(prompt, r"\[Evidence 1\] \([^)]*\) ([^\n]*)", 1), F.lit("")), F.lit("No evidence."))
+    """The stand-in for a language model: the first line of the first evidence of the prompt."""
+    return F.coalesce(F.nullif(F.regexp_extract(prompt, r"\[Video 1: [^\]]*\]\nContent: ([^\n]*)", 1), F.lit("")), F.lit("No evidence."))
 
 
 def answers(ctx: DataFrame, model: Callable[[Column], Column] = extractive) -> DataFrame:

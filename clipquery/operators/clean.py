@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,13 @@ def union_splits(tables: dict[str, DataFrame], split: str = "all") -> DataFrame:
 
 
 def repeated(rows: DataFrame, by: list[str]) -> DataFrame:
-    """All rows of each group of ``by`` that has several."""
-    return rows.withColumn("copies", F.count("*").over(Window.partitionBy(*by))).filter("copies > 1")
+    """All rows of each group of ``by`` that has several, with ``copies``; nulls equal nulls.
+
+    Groups are counted before the shuffle and joined back, so a large group is split by the adaptive join.
+    """
+    many = rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.count("*").alias("copies")).filter("copies > 1")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    return rows.join(many, same).drop(*(f"__{c}" for c in by))
 
 
 def valid_times(rows: DataFrame, start: str, end: str, length: str) -> DataFrame:

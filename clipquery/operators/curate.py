@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +37,21 @@ def nli_rerank(ctx: DataFrame, entailment: Column, k: int = 15) -> DataFrame:
     ``entailment`` is a model's column; 0.5 is what a missing model gives.
     """
     head = F.col("rank") <= k
-    final = F.when(head & F.col("text").isNotNull(), F.round(0.7 * F.col("relevance") + 0.3 * entailment, 6))
+    final = F.when(head & F.col("text").isNotNull(), F.round(0.7 * F.col("relevance") + 0.3 * entailment, 8))
     order = [head.desc(), F.when(head, F.coalesce(final, F.col("relevance"))).desc(), F.col("rank")]
     return ctx.withColumn("final_score", final).withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def conflicts(ctx: DataFrame, score: str = "relevance", least: int = 20, share: float = 0.5) -> DataFrame:
+def conflicts(ctx: DataFrame, score: str = "relevance", least: int = 20, share: float = 0.5, contradiction: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs of a query's contexts, the earlier ranked first, of which one contradicts the other, and which one loses.
 
-    The pairs are those of one query's short list; word sets and measures are computed once per context.
+    ``contradiction`` is a model's probability over two text columns; above 0.6 it decides before the rules do. The
+    pairs are those of one query's short list; word sets and measures are computed once per context.
     """
-    c = ctx.select("query_id", "segment_id", "rank", F.col(score).alias("s"), plain_words(F.coalesce("text", F.lit(""))).alias("w"), measures(F.coalesce("text", F.lit(""))).alias("m"))
-    a, b = (c.select("query_id", *(F.col(x).alias(f"{x}_{p}") for x in ("segment_id", "rank", "s", "w", "m"))) for p in "ab")
-    kind = F.when(negation_conflict(F.col("w_a"), F.col("w_b"), least, share), "negation").when(numeric_conflict(F.col("m_a"), F.col("m_b")), "numeric")
+    c = ctx.select("query_id", "segment_id", "rank", F.col(score).alias("s"), plain_words(F.coalesce("text", F.lit(""))).alias("w"), measures(F.coalesce("text", F.lit(""))).alias("m"), *["text"] * bool(contradiction))
+    a, b = (c.select("query_id", *(F.col(x).alias(f"{x}_{p}") for x in c.columns if x != "query_id")) for p in "ab")
+    model = contradiction(F.col("text_a"), F.col("text_b")) > 0.6 if contradiction else F.lit(False)
+    kind = F.when(model, "nli_contradiction").when(negation_conflict(F.col("w_a"), F.col("w_b"), least, share), "negation").when(numeric_conflict(F.col("m_a"), F.col("m_b")), "numeric")
     j = a.join(b, "query_id").filter("rank_a < rank_b").withColumn("type", kind).filter("type is not null")
     return j.select("query_id", F.col("segment_id_a"), F.col("segment_id_b"), "type", F.when(F.col("s_a") < F.col("s_b"), F.col("segment_id_a")).otherwise(F.col("segment_id_b")).alias("loser"))
 

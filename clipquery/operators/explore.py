@@ -71,3 +71,41 @@ def best_config(results: DataFrame, metric: str, config: str = "config", largest
     """The configuration of the best metric, ties to the smallest; failures and nulls don't count."""
     m = F.col(metric)
     return results.filter(m.isNotNull() & ~F.isnan(m.cast("double"))).orderBy(m.desc() if largest else m.asc(), config).limit(1)
+
+
+# The parameter space, and presets to try first.
+GRID = {
+    "window_size": [128, 256, 384, 512], "stride": [64, 96, 128, 192, 256], "min_coverage_contribution": [0.05, 0.10, 0.15, 0.20, 0.25], "deduplication_mode": ["coverage", "similarity", "none"],
+    "frames_per_segment": [1, 2, 3, 4, 5], "sampling_strategy": ["uniform", "adaptive", "quality_based"], "quality_filter": [True, False], "aggregation_method": ["mean", "max"],
+}
+PRESETS = [
+    ("Baseline", 256, 192, 0.15, "coverage", 2, "uniform", False, "mean"), ("Fast", 128, 128, 0.20, "aggressive", 1, "uniform", False, "mean"),
+    ("Quality", 384, 96, 0.10, "coverage", 4, "quality_based", True, "mean"), ("Balanced", 256, 128, 0.15, "coverage", 2, "adaptive", False, "mean"),
+]
+
+
+def random_configs(configs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """A repeatable sample of ``n`` configurations, by the hash of their numbers."""
+    return configs.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("config").cast("string"))), "config").limit(n)
+
+
+def presets(spark) -> DataFrame:  # noqa: ANN001
+    return spark.createDataFrame(PRESETS, "name string, window_size int, stride int, min_coverage_contribution double, deduplication_mode string, frames_per_segment int, sampling_strategy string, quality_filter boolean, aggregation_method string")
+
+
+def window_metrics(lengths: DataFrame, configs: DataFrame) -> DataFrame:
+    """Number of windows and covered tokens, in percent, of each (config, window_size, stride) over texts of ``n`` tokens.
+
+    Windows are folded from the lengths alone, so no text is read again for a configuration. Configurations are few;
+    lengths are counted first, so texts of one length are folded once.
+    """
+    per = lengths.groupBy("n").agg(F.count("*").alias("texts"))
+    j = per.filter("n > 0").crossJoin(F.broadcast(configs.select("config", "window_size", "stride")))
+    start = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.col("stride")))
+    w = j.select("config", "window_size", "stride", "n", "texts", start.alias("s")).withColumn("e", F.least(F.col("s") + F.col("window_size"), F.col("n"))).filter(F.col("e") - F.col("s") >= F.expr("window_size div 4"))
+    # What a window adds lies beyond the end of the window before it.
+    before = F.when(F.col("s") == 0, 0).otherwise(F.least(F.col("s") - F.col("stride") + F.col("window_size"), F.col("n")))
+    fresh = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), before))
+    got = w.groupBy("config").agg(F.sum("texts").alias("n_windows"), F.sum(fresh * F.col("texts")).alias("covered"))
+    total = per.agg(F.sum(F.col("n") * F.col("texts")).alias("tokens"))
+    return configs.join(got, "config", "left").crossJoin(F.broadcast(total)).select("config", "window_size", "stride", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.round(100.0 * F.coalesce("covered", F.lit(0)) / F.col("tokens"), 6).alias("coverage_pct"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquery.functions.text import tokens
-from clipquery.operators.common import small, top
+from clipquery.operators.common import BROADCAST_ROWS, top
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, empty_docs: int = 0) -> DataFrame:
@@ -16,18 +16,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     ``floor`` times the mean weight of all terms where that is negative; query terms count as often as they occur.
     ``empty_docs`` documents without text, such as visual segments, count in N and in the mean length.
 
-    Documents are tokenized once per use; term counts are combined before each shuffle. Only postings of query terms
-    meet the queries, by a broadcast of the query terms where they are few.
+    One pass counts in how many documents each term is, and on a row without term the documents and their tokens;
+    distinct terms are taken in the row, so what is shuffled is one count per term and task. The other pass keeps
+    tokens of query terms only, by a broadcast of these where they are few, and shuffles those.
     """
     d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    postings = d.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = d.agg((F.count("*") + empty_docs).alias("n"), (F.sum(F.size("t")) / (F.count("*") + empty_docs)).alias("avgdl"))
-    n, avgdl = stats.first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    one = lambda term, dl: F.struct(term.alias("term"), dl.cast("long").alias("dl"))
+    each = F.concat(F.transform(F.array_distinct("t"), lambda t: one(t, F.lit(0))), F.array(one(F.lit(None).cast("string"), F.size("t"))))
+    terms = d.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    n = F.col("df") + empty_docs
+    stats = terms.filter("term is null").select(n.cast("double").alias("n"), F.coalesce(F.nullif(F.col("dl") / n, F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    idf = terms.filter("term is not null").crossJoin(F.broadcast(stats)).select("term", "avgdl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    mean = idf.agg((floor * F.avg("idf")).alias("least"))
     q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    mean = df.agg(F.avg("idf")).first()[0] or 0.0
-    weights = small(q.join(df, "term").withColumn("w", F.col("qtf") * F.when(F.col("idf") < 0, F.lit(floor * mean)).otherwise(F.col("idf"))).select("query_id", "term", "w"))
-    length = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0))
+    weights = q.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "avgdl", (F.col("qtf") * F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf"))).alias("w"))
+    asked = q.select("term").distinct()
+    few = q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else lambda x: x
+    tf = d.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(hint(asked), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
-    scored = postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25_score")).filter("bm25_score > 0")
+    scored = tf.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25_score")).filter("bm25_score > 0")
     return top(scored, ["query_id"], [F.col("bm25_score").desc(), F.col("doc_id")], k)
