@@ -19,7 +19,9 @@ from clipquery.llm.labelled import sample, texts_of
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of stems that are tried as terms, and the least number of sampled toxic documents that hold a term.
-STEMS, SUPPORT = range(3, 13), 4
+STEMS, SUPPORT = range(3, 13), 5
+#: Share of the sampled toxic documents that hold a term at least.
+SHARE = 0.02
 #: Share of the sampled toxic documents that hold a word whose misspellings are looked for.
 COMMON = 0.02
 #: Terms at most, by how many toxic documents hold them.
@@ -191,7 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     rows of both labels the lexicon stays empty.
     """
     chosen = sample(labels, id_col, label_col, learn, most)
-    texts = materialize(texts_of(docs, chosen, id_col, text_col), "toxicity-sample").repartition(8)
+    # Near copies mostly share the sentence of least hash; one text of each stays, or every word of a text that is
+    # often copied would seem a term.
+    sentences = F.filter(F.split(F.lower("text"), r"[.!?\n]+"), lambda s: F.length(s) >= 12)
+    least = F.coalesce(F.array_min(F.transform(sentences, lambda s: F.xxhash64(F.trim(s)))), F.xxhash64("text"))
+    texts = texts_of(docs, chosen, id_col, text_col).withColumn("least", least)
+    texts = materialize(texts.groupBy("label", "least").agg(F.min("text").alias("text")).select("label", "text"), "toxicity-sample").repartition(8)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,12 +210,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([n[1][p] for p in every], pa.int64()), pa.array([n[0][p] for p in every], pa.int64())], ["pattern", "t", "c"])
 
     ones, zeros = labels.filter(learn).agg(F.count(F.when(F.col(label_col) == 1, 1)), F.count(F.when(F.col(label_col) == 0, 1))).first()
-    toxic, clean = min(ones, most), min(zeros, most)
+    toxic, clean = texts.agg(F.count(F.when(F.col("label") == 1, 1)), F.count(F.when(F.col("label") == 0, 1))).first()
     if not toxic or not clean:
         return Lexicon()
     ratio = (zeros / clean) / (ones / toxic)
     found = texts.mapInArrow(patterns, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    found = found.filter((F.col("t") >= SUPPORT) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
+    found = found.filter((F.col("t") >= max(SUPPORT, SHARE * toxic)) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
     rows = [tuple(r) for r in found.collect()]
     lexicon = Lexicon(*learn_terms(rows, toxic, clean, ratio))
     often = {p for p, t, _ in rows if t >= max(SUPPORT, COMMON * toxic)}
