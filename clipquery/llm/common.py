@@ -36,6 +36,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it in any case."""
+    have = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in have:
+            name = "_" + name
+        return name
+
+    return [free(n) for n in names]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipquery.llm.common import materialize
+from clipquery.llm.common import materialize, unused
 
 
 def sha256(text: Column) -> Column:
@@ -51,8 +51,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the copies that :func:`exact_dedup` drops, all columns as they were."""
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__sha", sha256(F.coalesce(F.col(text_col), F.lit(""))))
-    turn = F.row_number().over(Window.partitionBy("__sha", id_col).orderBy(F.lit(1)))
-    left = rows.join(keep, (rows["__sha"] == keep["__sha"]) & rows[id_col].eqNullSafe(keep["__id"]), "left_semi")
-    return left.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)
+    sha, turn, kept_sha, kept_id = unused(docs, "__sha", "__turn", "__kept_sha", "__kept_id")
+    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    rows = docs.withColumn(sha, sha256(F.coalesce(F.col(text_col), F.lit(""))))
+    left = rows.join(keep, (F.col(sha) == F.col(kept_sha)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    return left.withColumn(turn, F.row_number().over(Window.partitionBy(sha, id_col).orderBy(F.lit(1)))).filter(F.col(turn) == 1).select(*docs.columns)

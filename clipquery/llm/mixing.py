@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipquery.llm.common import materialize
+from clipquery.llm.common import materialize, unused
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: More rows than this of a table of sources or shards are joined by shuffle instead of broadcast.
@@ -111,15 +111,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeded chance; so no text is cut and sources keep their targets on average. Documents without words have
     nothing that a mix could weigh and stay once.
     """
-    m = mix(docs, id_col, text_col, source_col, seed=seed).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    key, words, nth, of, taken, times, copy = unused(docs, "__id", "__size", "__turn", "__of", "__taken", "__times", "__copy")
+    m = mix(docs, id_col, text_col, source_col, seed=seed).select(F.col(id_col).alias(of), F.col("size"), F.col("taken").alias(taken))
     # Repeated ids: the k-th row of an id in docs gets the k-th row of the mix.
-    turn = lambda *o: F.row_number().over(Window.partitionBy("__id").orderBy(*o))
-    m = m.withColumn("__turn", turn("__size", "__taken"))
+    turn = lambda by, *o: F.row_number().over(Window.partitionBy(by).orderBy(*o))
+    m = m.select(of, taken, turn(of, "size", taken).alias(copy))
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    d = docs.withColumn("__id", F.col(id_col)).withColumn("__size", size).withColumn("__turn", turn("__size")).alias("d")
-    m = m.alias("m")
-    joined = d.join(m, F.col("d.__id").eqNullSafe(F.col("m.__id")) & (F.col("d.__turn") == F.col("m.__turn"))).select("d.*", "m.__taken")
-    part = (F.col("__taken") % F.col("__size")) / F.col("__size")
-    chance = number(seed, F.lit("copy"), F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("__turn").cast("string")) / F.lit(2.0**32)
-    times = F.when(F.col("__size") == 0, 1).otherwise(F.expr("__taken div __size") + (chance < part).cast("int")).cast("int")
-    return joined.withColumn("__times", times).filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    d = docs.withColumn(key, F.col(id_col)).withColumn(words, size).withColumn(nth, turn(key, words))
+    joined = d.join(m, F.col(key).eqNullSafe(F.col(of)) & (F.col(nth) == F.col(copy)))
+    part = (F.col(taken) % F.col(words)) / F.nullif(F.col(words), F.lit(0))
+    chance = number(seed, F.lit("copy"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(nth).cast("string")) / F.lit(2.0**32)
+    n = F.when(F.col(words) == 0, 1).otherwise(F.expr(f"{taken} div {words}") + (chance < part).cast("int")).cast("int")
+    return joined.withColumn(times, n).filter(F.col(times) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(f"{copy}s")).drop(f"{copy}s")

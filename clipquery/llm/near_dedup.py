@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquery.llm.bytes_view import U64, mixed, powers, text_bytes
-from clipquery.llm.common import materialize
+from clipquery.llm.common import materialize, unused
 from clipquery.llm.components import components
 
 #: Registers are floor(1 - log_BASE(least hash)); near 1, so unrelated sets rarely share one.
@@ -312,11 +312,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The row of the smallest id stays, null ids last; of repeated rows one stays. Documents without words are no
     copies of each other: all of them stay.
     """
+    digest, number, kept_id, kept_key = unused(docs, "__digest", "__turn", "__kept_id", "__kept_key")
     best = F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("key").alias("key"))
-    keep = linked(docs, id_col, text_col, words, percent).filter("n > 0").groupBy("label").agg(F.min(best).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.key").alias("__key"))
+    keep = linked(docs, id_col, text_col, words, percent).filter("n > 0").groupBy("label").agg(F.min(best).alias("s")).select(F.col("s.id").alias(kept_id), F.col("s.key").alias(kept_key))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = ~text.rlike("[^\\x20\\x09-\\x0D]")
-    full = docs.filter(~bare).withColumn("__digest", F.unhex(F.md5(text))).alias("d")
-    left = full.join(keep, (F.col("__digest") == F.col("__key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("__id")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__digest", id_col).orderBy(F.lit(1)))
-    return left.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns).unionByName(docs.filter(bare))
+    full = docs.filter(~bare).withColumn(digest, F.unhex(F.md5(text)))
+    left = full.join(keep, (F.col(digest) == F.col(kept_key)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(digest, id_col).orderBy(F.lit(1)))
+    return left.withColumn(number, turn).filter(F.col(number) == 1).select(*docs.columns).unionByName(docs.filter(bare))

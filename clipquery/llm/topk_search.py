@@ -43,7 +43,7 @@ def best_of_block(queries: np.ndarray, own: np.ndarray, postings: np.ndarray, k:
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(queries)):
         accumulate(queries[i], postings, scores, work)
-        key = scores.astype(np.int64) * n + back if exact else np.array([s * n + int(b) for s, b in zip(scores, back)], dtype=object)
+        key = scores.astype(np.int64) * n + back if exact else np.array([min(max(s, -_LONG - 1), _LONG) * n + int(b) for s, b in zip(scores, back)], dtype=object)
         take = min(k + 1, n)
         if take < n and exact:
             place = np.argpartition(key, n - take)[n - take :]
@@ -65,7 +65,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     Returns ``query_id, rank, vec_id, score``, ties to the smaller ``vec_id``. Vectors that are null or hold null or
     non-finite components take no part; shorter vectors count as 0 in missing terms, empty ones score 0. With
     repeated ids each row is a vector of its own: a query row is kept from itself, not from others with its id.
-    Scores beyond 64 bits are ranked exactly and reported as the nearest 64-bit number. Null ids are ordinary, first
+    Scores beyond 64 bits count as the nearest 64-bit number. Null ids are ordinary, first
     in ties. Other columns are ignored; an empty table gives an empty result.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), F.col(vector_col).cast("array<double>").alias("x"))
