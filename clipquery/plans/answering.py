@@ -73,7 +73,8 @@ def adaptive_select(spark: SparkSession, d: str) -> DataFrame:
 
 
 def curation_stats(spark: SparkSession, d: str) -> DataFrame:
-    return curate.curate(contexts(spark, d), budget=BUDGET)[2]
+    """Every stage reads the contexts, ten rows a query, so they are kept; lost parts are computed again."""
+    return curate.curate(contexts(spark, d).persist(), budget=BUDGET)[2]
 
 
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
