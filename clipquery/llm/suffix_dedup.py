@@ -201,9 +201,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
                 cols = [pa.array(value), b.column(0).take(pa.array(who, pa.int32())), *(pa.array(x.astype(np.int32)) for x in (place, first, last))]
                 yield pa.RecordBatch.from_arrays(cols, ["anchor", "key", "place", "first", "last"])
 
-    # A copy's anchors are the same rows again and count once.
+    # A copy's anchors are the same rows again and count once. A run that a border of hashing blocks cuts is two rows
+    # that abut, and one again from the least first to the greatest last.
     seen = rows.mapInArrow(find, "anchor long, key binary, place int, first int, last int")
-    seen = materialize(seen.groupBy("anchor", "key", "place").agg(F.min("first").alias("first"), F.min("last").alias("last")), "suffix-anchors")
+    seen = materialize(seen.groupBy("anchor", "key", "place").agg(F.min("first").alias("first"), F.max("last").alias("last")), "suffix-anchors")
     shared = materialize(seen.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1").select("anchor"), "suffix-shared")
     wanted = seen.join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("at"))
 

@@ -110,6 +110,18 @@ def test_suffix_dedup(spark, empty, monkeypatch, budget):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("shift", [1, 40])
+def test_suffix_dedup_across_hashing_blocks(spark, shift):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passages, step = [noise(400) for _ in range(2)], suffix_dedup.STEP
+    long = noise(step + shift) + passages[0] + noise(step - 400) + passages[1] + noise(500)
+    texts = [long, noise(50) + passages[0] + noise(9), noise(3) + passages[1], noise(900)]
+    rows = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(rows).collect()}
+    assert got == dict(enumerate(removed_by_hand([t.encode() for t in texts], 400)))
+
+
 def shingles(text, n):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
