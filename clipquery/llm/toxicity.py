@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,8 +24,6 @@ WORD = re.compile(r"[^\W_]+")
 STEMS, SUPPORT = range(3, 13), 5
 #: Share of the sampled toxic documents that hold a term at least.
 SHARE = 0.02
-#: Share of the sampled toxic documents that hold a word whose misspellings are looked for.
-COMMON = 0.02
 #: Terms at most, by how many toxic documents hold them.
 TERMS = 2000
 #: Toxic documents that are taken to hold a misspelling of a word before any is seen.
@@ -47,17 +47,21 @@ class Trie:
             node[1][0] = i
 
     def near(self, word: str, most: int) -> tuple[int, int] | None:
-        """(distance, term) of the nearest term within ``most`` edits of the word, ties to the smaller number.
+        """(distance, term) of the nearest term within ``most`` edits of the word, ties to the smaller number."""
+        return min(((d, t) for t, d in self.within(word, most).items()), default=None)
+
+    def within(self, word: str, most: int) -> dict[int, int]:
+        """term -> distance of all terms within ``most`` edits of the word.
 
         The word's Levenshtein automaton is walked together with the trie. A state is the set of (place in the word,
         edits so far) pairs that no other pair makes needless; a branch ends when no pair is left.
         """
-        n, best = len(word), None
+        n, found = len(word), {}
         stack = [(self.root, {i: i for i in range(min(most, n) + 1)})]
         while stack:
             (below, term), state = stack.pop()
-            if term[0] >= 0 and n in state and (best is None or (state[n], term[0]) < best):
-                best = (state[n], term[0])
+            if term[0] >= 0 and n in state:
+                found[term[0]] = state[n]
             for c, child in below.items():
                 new: dict[int, int] = {}
                 for i in sorted(state):
@@ -70,15 +74,20 @@ class Trie:
                         new[j + 1] = new[j] + 1
                 if new:
                     stack.append((child, new))
-        return best
+        return found
+
+
+def shortened(word: str) -> set[str]:
+    """The word and what is left of it without one of its characters; words within one edit have one in common."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
 class Nearby:
     """Terms within one edit of a word, or two for terms of nine letters or more.
 
-    Most words are ruled out by their ends: one edit leaves a term's first half at the word's start or its second half
-    at the word's end, two edits leave its first or last third there or its middle third nearby. Only words that pass
-    walk their automaton through the trie.
+    Most words are ruled out before: words within one edit of a term share a shortened form with it, and two edits
+    leave a long term's first or last third at the word's start or end or its middle third nearby. Only words that
+    pass walk their automaton through the trie.
     """
 
     def __init__(self, terms: list[str]) -> None:
@@ -86,22 +95,24 @@ class Nearby:
         self.long = [t for t in terms if len(t) >= 9]
         self.tries = Trie(terms), Trie(self.long)
         self.least, self.most = min(map(len, terms), default=9) - 1, max(map(len, terms), default=-9) + 2
+        self.forms = {f for t in terms for f in shortened(t)}
         third = [(t[: len(t) // 3], t[len(t) // 3 : -(len(t) // 3)], t[-(len(t) // 3) :]) for t in self.long]
-        heads = {t[: len(t) // 2] for t in terms} | {a for a, _, _ in third}
-        tails = {t[len(t) // 2 :] for t in terms} | {c for _, _, c in third}
-        self.heads, self.tails = tuple(heads), tuple(tails)
+        self.heads, self.tails = tuple({a for a, _, _ in third}), tuple({c for _, _, c in third})
         self.inner = re.compile("|".join(map(re.escape, sorted({m for _, m, _ in third})))) if third else None
 
-    def best(self, word: str) -> tuple[int, str] | None:
+    def all(self, word: str) -> list[tuple[int, str]]:
+        """(distance, term) of each term nearby, in ascending order."""
         if not self.least <= len(word) <= self.most:
-            return None
-        if not (word.startswith(self.heads) or word.endswith(self.tails) or (self.inner and len(word) >= 7 and self.inner.search(word))):
-            return None
-        if found := self.tries[0].near(word, 1):
-            return found[0], self.terms[found[1]]
-        if self.long and len(word) >= 7 and (found := self.tries[1].near(word, 2)):
-            return found[0], self.long[found[1]]
-        return None
+            return []
+        found: dict[str, int] = {}
+        if self.long and len(word) >= 7 and (word.startswith(self.heads) or word.endswith(self.tails) or self.inner.search(word)):
+            found = {self.long[t]: d for t, d in self.tries[1].within(word, 2).items()}
+        if not self.forms.isdisjoint(shortened(word)):
+            found |= {self.terms[t]: d for t, d in self.tries[0].within(word, 1).items()}
+        return sorted((d, t) for t, d in found.items())
+
+    def best(self, word: str) -> tuple[int, str] | None:
+        return next(iter(self.all(word)), None)
 
 
 @dataclass
@@ -115,19 +126,27 @@ class Lexicon:
     bias: float = -2.0
     slope: float = 1.0
 
-    def matcher(self) -> Recent:
-        """word -> (weight, distance, term) of its best term, or () without one."""
-        near = Nearby(sorted({term for term, _ in self.loose}))
-        stem = re.compile("|".join(map(re.escape, sorted(self.stems, key=len, reverse=True)))) if self.stems else None
+    def exact(self) -> Callable[[str], tuple]:
+        """word -> (weight, 0, term) of the word itself or its longest stem, or ()."""
+        lengths = sorted({len(x) for x in self.stems}, reverse=True)
 
-        def match(word: str) -> tuple:
+        def find(word: str) -> tuple:
             if word in self.words:
                 return self.words[word], 0, word
-            if stem and (m := stem.match(word)):
-                return self.stems[m[0]], 0, m[0]
-            if found := near.best(word):
-                return self.loose[found[1], found[0]], *found
-            return ()
+            return next(((self.stems[word[:k]], 0, word[:k]) for k in lengths if word[:k] in self.stems), ())
+
+        return find
+
+    def matcher(self) -> Recent:
+        """word -> (weight, distance, term) of its best term, or () without one; of terms nearby the one that its
+        misspellings weigh most."""
+        exact, near = self.exact(), Nearby(sorted({term for (term, _), x in self.loose.items() if x > 0}))
+
+        def match(word: str) -> tuple:
+            if found := exact(word):
+                return found
+            x, d, term = max(((self.loose.get((t, d), 0.0), -d, t) for d, t in near.all(word)), default=(0.0, 0, ""))
+            return (x, -d, term) if x > 0 else ()
 
         return Recent(match)
 
@@ -189,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     Executors count in how many sampled documents each word and stem is, then how often misspellings of each word are
     in them: those that clean documents hold too, as ordinary words, get no weight. The driver gets at most ``TERMS``
-    patterns, two counts per word and distance, and a number per sampled document for the logistic weights. Without
+    patterns, the words under their stems, two counts per word and distance, and a number per sampled document for the logistic weights. Without
     rows of both labels the lexicon stays empty.
     """
     chosen = sample(labels, id_col, label_col, learn, most)
@@ -214,26 +233,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if not toxic or not clean:
         return Lexicon()
     ratio = (zeros / clean) / (ones / toxic)
-    found = texts.mapInArrow(patterns, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    found = found.filter((F.col("t") >= max(SUPPORT, SHARE * toxic)) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
+    counts = materialize(texts.mapInArrow(patterns, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-patterns")
+    found = counts.filter((F.col("t") >= max(SUPPORT, SHARE * toxic)) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
     rows = [tuple(r) for r in found.collect()]
     lexicon = Lexicon(*learn_terms(rows, toxic, clean, ratio))
-    often = {p for p, t, _ in rows if t >= max(SUPPORT, COMMON * toxic)}
-    lexicon.loose = {(w, d): 0.0 for w in lexicon.words if w in often and len(w) >= 5 for d in (1, 2)[: 1 + (len(w) >= 9)]}
+    # Misspellings are looked for of words, stems and, however rare, the full words under a stem.
+    learnt = lexicon.stems | lexicon.words
+    if lexicon.stems:
+        of = defaultdict(list)
+        for x in lexicon.stems:
+            of[len(x)].append(x)
+        under = functools.reduce(operator.or_, (F.substring("pattern", 1, k).isin(xs) for k, xs in of.items()))
+        for p, in counts.filter((F.col("t") / toxic > 10 * F.col("c") / clean) & ~F.col("pattern").endswith("*") & under).select("pattern").collect():
+            learnt.setdefault(p, lexicon.exact()(p)[0])
+    lexicon.loose = {(w, d): 0.0 for w in learnt for d in (1, 2)[: 1 + (len(w) >= 9)]}
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = lexicon.matcher()
+        exact, near = lexicon.exact(), Nearby(sorted(learnt))
+        nearby = Recent(lambda w: () if exact(w) else tuple((t, d) for d, t in near.all(w)))
         for b in batches:
             n: Counter = Counter()
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n.update({(m[2], m[1], y) for m in map(match.__getitem__, WORD.findall(text.lower())) if m and m[1]})
+                n.update({(*m, y) for w in WORD.findall(text.lower()) for m in nearby[w]})
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int32()), pa.array([v * k[2] for k, v in n.items()], pa.int64()), pa.array([v * (1 - k[2]) for k, v in n.items()], pa.int64())], ["term", "distance", "t", "c"])
 
     seen = texts.mapInArrow(misspelled, "term string, distance int, t long, c long").groupBy("term", "distance").agg(F.sum("t"), F.sum("c"))
     odds = {(term, d): (t, c) for term, d, t, c in seen.collect()}
     for term, d in lexicon.loose:  # at first as if PRIOR toxic documents held a misspelling
         t, c = odds.get((term, d), (0, 0))
-        lexicon.loose[term, d] = max(0.0, min(lexicon.words[term] - 1, math.log((min(t, PRIOR) + PRIOR) / (2 * c * ratio + 0.5))))
+        lexicon.loose[term, d] = max(0.0, min(learnt[term] - 1, math.log((min(t, PRIOR) + PRIOR) / (2 * c * ratio + 0.5))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = lexicon.matcher()

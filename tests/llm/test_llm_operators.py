@@ -423,6 +423,27 @@ def test_misspellings_and_quotation():
     assert quoted < plain < aimed
 
 
+def labelled_table(spark, toxic, clean):
+    """Documents and labels of toxic and clean texts in turn of ids, with words of their own around them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4))
+    every = [(y, f"{t} {' '.join(word() for _ in range(9))}") for y, ts in ((1, toxic), (0, clean)) for t in ts]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(every)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, y) for i, (y, _) in enumerate(every)], "doc_id long, toxic int")
+
+
+def test_misspelled_heads_of_stemmed_short_and_rare_terms(spark):
+    # zorg* is in one text more than zorgon; zib and wemp are short; quonkers is under a stem and in one text.
+    forms = ["zorgon"] * 30 + ["zorgn"] + ["zib"] * 30 + ["wemp"] * 30 + ["quonk"] * 15 + ["quonked"] * 15 + ["quonkers"]
+    docs, labels = labelled_table(spark, forms, [""] * 400)
+    lexicon = toxicity.fit(docs, labels, F.lit(True))
+    assert "zorg" in lexicon.stems and "zorgon" not in lexicon.words
+    match = lexicon.matcher()
+    for w in ("zrgon", "xorgon", "zobgon", "zab", "zibb", "wep", "wemmp", "qonk", "qonkers", "xuonkers"):
+        assert match[w] and match[w][0] > 0 and match[w][1] == 1, w
+    assert not match["house"] and not match["zrgn" * 3]
+
+
 def test_trie_distances_are_exact():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
