@@ -6,15 +6,18 @@ import functools
 import math
 import operator
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipquery.llm.bytes_view import U64, mixed
 from clipquery.llm.cache import Recent
 from clipquery.llm.common import materialize
 from clipquery.llm.labelled import sample, texts_of
@@ -22,10 +25,11 @@ from clipquery.llm.labelled import sample, texts_of
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of stems that are tried as terms, and the least number of sampled toxic documents that hold a term.
 STEMS, SUPPORT = range(3, 13), 5
-#: Share of the sampled toxic documents that hold a term at least.
-SHARE = 0.02
-#: Terms at most, by how many toxic documents hold them.
-TERMS = 2000
+#: Least hashes of a text that is learnt from, and how many of them related texts share: near copies and texts with a
+#: long passage in common are no independent evidence.
+HASHES, ALIKE = 32, 2
+#: Share of learnt patterns that may be there by chance.
+CHANCE = 0.05
 #: Toxic documents that are taken to hold a misspelling of a word before any is seen.
 PRIOR = 4
 #: Words on either side of a match that tell quotation from abuse.
@@ -179,6 +183,52 @@ def context(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -
     return x * 1.5 if not quoted and any(w in ADDRESS for w in near) else x
 
 
+def evidence(t: Any, c: Any, p: float, log: Callable = np.log) -> Any:
+    """Chernoff's bound on how likely chance deals ``t`` or more of ``t + c`` documents to toxic ones, whose share is p,
+    as a negative logarithm; for numbers, arrays or columns. It holds where t / (t + c) is above p."""
+    n = t + c
+    return t * log(t / (n * p)) + c * log((c + 1e-9) / (n * (1 - p)))
+
+
+def least_evidence(t: np.ndarray, c: np.ndarray, many: np.ndarray, p: float) -> float:
+    """The evidence from which patterns count, by Benjamini and Hochberg's rule: of those that pass, ``CHANCE`` at most
+    are expected to be there by chance. ``many`` patterns have the counts ``t, c``; all compete, so the more terms a
+    table has, the rarer ones pass."""
+    x = np.where(t > p * (t + c), evidence(np.maximum(t, 1), c, p), 0.0)
+    by = np.argsort(-x, kind="stable")
+    x, upto = x[by], np.cumsum(many[by])
+    passes = np.flatnonzero(np.exp(-x) <= CHANCE * upto / max(1, many.sum()))
+    return float(x[passes[-1]]) if len(passes) else math.inf
+
+
+def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``label, least, signature``: ``HASHES`` least hashes of a text's five-word strings."""
+    odd = mixed(np.arange(1, HASHES + 1, dtype=U64)) | U64(1)
+    for b in batches:
+        out = []
+        for text in b.column(b.schema.get_field_index("text")).to_pylist():
+            h = np.array([zlib.crc32(w.encode()) for w in WORD.findall(text.lower())], dtype=U64)
+            for _ in range(4):
+                h = h[:-1] * U64(0x9E3779B97F4A7C15) + mixed(h[1:]) if len(h) > 1 else h
+            out.append([int(mixed(h * k).min().astype(np.int64)) for k in odd] if len(h) else [])
+        yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("label")), b.column(b.schema.get_field_index("least")), pa.array(out, pa.list_(pa.int64()))], ["label", "least", "signature"])
+
+
+def related(rows: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
+    """(label, least) of the texts that share ``ALIKE`` least hashes or more with an earlier one of their label that stays."""
+    owners: dict[tuple, list[int]] = defaultdict(list)
+    drop = []
+    for i, (label, least, signature) in enumerate(rows):
+        keys = [(label, k, x) for k, x in enumerate(signature)]
+        shared = Counter(j for key in keys for j in owners.get(key, ()))
+        if max(shared.values(), default=0) >= ALIKE:
+            drop.append((label, least))
+        else:
+            for key in keys:
+                owners[key].append(i)
+    return drop
+
+
 def learn_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, ratio: float) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems from (pattern, toxic documents, clean documents); stems end in ``*``.
 
@@ -207,9 +257,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Learn a lexicon and weights from at most ``most`` rows of each label for which ``learn`` (over ``labels``) holds.
 
     Executors count in how many sampled documents each word and stem is, then how often misspellings of each word are
-    in them: those that clean documents hold too, as ordinary words, get no weight. The driver gets at most ``TERMS``
-    patterns, the words under their stems, two counts per word and distance, and a number per sampled document for the logistic weights. Without
-    rows of both labels the lexicon stays empty.
+    in them: those that clean documents hold too, as ordinary words, get no weight. A word or stem is a
+    term if ``SUPPORT`` toxic documents hold it and clean ones so few that chance is unlikely. The driver gets what the
+    sampled documents bound: their signatures, a histogram of counts, the terms and the words under stems, two counts
+    per term and distance, and a number per document for the logistic weights. Without rows of both labels the lexicon
+    stays empty.
     """
     chosen = sample(labels, id_col, label_col, learn, most)
     # Near copies mostly share the sentence of least hash; one text of each stays, or every word of a text that is
@@ -217,7 +269,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     sentences = F.filter(F.split(F.lower("text"), r"[.!?\n]+"), lambda s: F.length(s) >= 12)
     least = F.coalesce(F.array_min(F.transform(sentences, lambda s: F.xxhash64(F.trim(s)))), F.xxhash64("text"))
     texts = texts_of(docs, chosen, id_col, text_col).withColumn("least", least)
-    texts = materialize(texts.groupBy("label", "least").agg(F.min("text").alias("text")).select("label", "text"), "toxicity-sample").repartition(8)
+    texts = materialize(texts.groupBy("label", "least").agg(F.min("text").alias("text")), "toxicity-sample").repartition(8)
+    signed = texts.mapInArrow(signatures, "label int, least long, signature array<long>").collect()
+    drop = related(sorted(map(tuple, signed)))
+    texts = texts.join(F.broadcast(docs.sparkSession.createDataFrame(drop, "label int, least long")), ["label", "least"], "left_anti").select("label", "text")
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -234,7 +289,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         return Lexicon()
     ratio = (zeros / clean) / (ones / toxic)
     counts = materialize(texts.mapInArrow(patterns, "pattern string, t long, c long").groupBy("pattern").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "toxicity-patterns")
-    found = counts.filter((F.col("t") >= max(SUPPORT, SHARE * toxic)) & (F.col("t") / toxic > 10 * F.col("c") / clean)).orderBy(F.col("t").desc(), "pattern").limit(TERMS)
+    tested = counts.filter(F.col("t") + F.col("c") >= SUPPORT)
+    sizes = np.array(tested.groupBy("t", "c").count().collect(), dtype=float).reshape(-1, 3)
+    share = toxic / (toxic + clean)
+    least = least_evidence(*sizes.T, share)
+    t, c = F.col("t"), F.col("c")
+    found = tested.filter((t >= SUPPORT) & (t / toxic > 10 * c / clean) & (evidence(t, c, share, F.log) >= F.lit(least - 1e-9))).orderBy(t.desc(), "pattern")
     rows = [tuple(r) for r in found.collect()]
     lexicon = Lexicon(*learn_terms(rows, toxic, clean, ratio))
     # Misspellings are looked for of words, stems and, however rare, the full words under a stem.
@@ -244,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for x in lexicon.stems:
             of[len(x)].append(x)
         under = functools.reduce(operator.or_, (F.substring("pattern", 1, k).isin(xs) for k, xs in of.items()))
-        for p, in counts.filter((F.col("t") / toxic > 10 * F.col("c") / clean) & ~F.col("pattern").endswith("*") & under).select("pattern").collect():
+        for p, in counts.filter((t / toxic > 10 * c / clean) & ~F.col("pattern").endswith("*") & under).select("pattern").collect():
             learnt.setdefault(p, lexicon.exact()(p)[0])
     lexicon.loose = {(w, d): 0.0 for w in learnt for d in (1, 2)[: 1 + (len(w) >= 9)]}
 

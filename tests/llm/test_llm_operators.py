@@ -444,6 +444,17 @@ def test_misspelled_heads_of_stemmed_short_and_rare_terms(spark):
     assert not match["house"] and not match["zrgn" * 3]
 
 
+def test_a_wide_vocabulary_of_rare_terms_is_learnt(spark):
+    rng = random.Random(4)
+    terms = sorted({"".join(rng.choice("pqrstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(110)})[:100]
+    docs, labels = labelled_table(spark, [terms[i % 100] for i in range(1000)], [""] * 1000)  # each in 1 % of toxic texts
+    lexicon = toxicity.fit(docs, labels, F.lit(True))
+    match = lexicon.matcher()
+    assert all(match[t] and match[t][0] > 1.5 for t in terms)
+    ordinary = {w for r in docs.filter("doc_id >= 1000").collect() for w in r.text.split()}
+    assert sum(bool(match[w]) for w in ordinary) < 0.02 * len(ordinary)
+
+
 def test_trie_distances_are_exact():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
