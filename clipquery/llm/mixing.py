@@ -65,12 +65,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     1. Sizes (words of the text) are counted once and written to a table; everything after reads that table.
     2. ``source_targets`` gives each source's target.
-    3. Blocks of ``block`` words, as many as all words make, go to sources by Sainte-Laguë's quotients, then a
-       source's blocks to its shards, by their sizes. Documents are dealt to shards by a seeded hash, about
-       ``shard_words`` words in each, so a hot source has many shards.
-    4. In a shard, documents stand in seeded order and their words form a stream of blocks (the last block takes
-       the remainder). A quota of q of n blocks takes every block q div n times and q mod n of them once more,
-       spread evenly from a seeded start. Numbers of chosen blocks are closed forms, so no block becomes a row.
+    3. Blocks of ``block`` words, as many as all words make, go to sources by Sainte-Laguë's quotients. Documents
+       are dealt to shards by a seeded hash, about ``shard_words`` words in each, so a hot source has many shards.
+    4. In a shard, documents stand in seeded order. The shards of a source follow one another, each from the sum of
+       words before it, and form one stream of n blocks (the last block takes the remainder), so a small source
+       loses nothing at borders of shards. The words of a source's seats take the whole stream as often as they
+       hold it, and blocks for the rest once more, spread evenly from a seeded start. Numbers of chosen blocks are
+       closed forms, so no block becomes a row.
 
     Returns ``id_col, size, source_size, target, taken``. Null texts have size 0, null sources are a source of
     their own, the last. No document is taken more than ``at_most`` times. Repeated rows are separate documents.
@@ -84,13 +85,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     d = sizes.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("shard", number(seed, F.lit("shard"), F.col("key")) % shards)
     of, src = d.alias("d"), small(sources).alias("s")
     d = of.join(src, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.id", "d.size", "d.key", "d.shard", "s.source_size", "s.rank", "s.target", "s.blocks")
-    cells = d.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"))
-    cells = materialize(sainte_lague(cells, ["rank"], "words", "blocks", "shard").select("rank", "shard", F.greatest(F.expr(f"words div {block}"), F.least("words", F.lit(1))).alias("n"), "quota"), "mix-cells")
-    n = F.col("n")
-    cells = cells.select("rank", "shard", "n", F.least("quota", n * at_most).alias("q"), F.when(n > 0, number(seed, F.lit("start"), F.col("rank").cast("string"), F.col("shard").cast("string")) % n).otherwise(0).alias("start"))
+    cells = materialize(d.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks")), "mix-cells")
+    # One row per shard that a source is in goes through these windows.
+    source, n, all_words = Window.partitionBy("rank"), F.col("n"), F.col("all_words")
+    cells = cells.withColumn("all_words", F.sum("words").over(source)).withColumn("offset", F.sum("words").over(source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+    cells = cells.withColumn("n", F.greatest(F.expr(f"all_words div {block}"), F.least("all_words", F.lit(1)))).withColumn("seats", F.col("blocks") * block)
+    times = F.when(all_words > 0, F.expr("seats div all_words")).otherwise(0)
+    rest = F.least(F.floor((F.col("seats") - times * all_words) / block + 0.5), n)
+    cells = cells.select("rank", "shard", "offset", "n", F.least(times * n + rest, n * at_most).cast("long").alias("q"), F.when(n > 0, number(seed, F.lit("start"), F.col("rank").cast("string")) % n).otherwise(0).alias("start"))
 
     w = Window.partitionBy("rank", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "key")), "key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("end", F.sum("size").over(w)).join(small(cells), ["rank", "shard"])
+    d = d.withColumn("end", F.sum("size").over(w)).join(small(cells), ["rank", "shard"]).withColumn("end", F.col("end") + F.col("offset"))
 
     def before(x: str) -> str:
         """Words that the mix takes from the first x words of the stream."""

@@ -369,6 +369,15 @@ def test_mixing(spark, docs, rows, empty):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {i for i, *_ in rows}
 
 
+@pytest.mark.parametrize("words", [60, 20, 35, 100])
+def test_mixing_keeps_targets_over_many_shards(spark, words):
+    # Cells of one document or few; sources weigh 1, 2 and 3.
+    rows = [(i, " ".join(["w"] * words), "abc"[i % 3]) for i in range(60)]
+    docs = docs_of(spark, rows)
+    for shard_words in (50, 400, 4_000_000):
+        check_mix(mixing.mix(docs, shard_words=shard_words).collect(), rows, lambda t: 64)
+
+
 def test_mixing_a_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()]
     check_mix(queries.op10_mix_sources(spark, SMALL).collect(), rows, lambda t: 64 + 0.01 * t)
