@@ -32,7 +32,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/clipquery/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,14 +48,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [free(n) for n in names]
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/clipquery/"
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if place.toString().replace("file:///", "file:/").startswith(folder.replace("file:///", "file:/")):
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that :func:`materialize` wrote and nothing reads any more; other files stay."""
+    for df in frames:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        own = place(f"{shared_folder(spark)}/clipquery")
+        own = own.getFileSystem(conf).makeQualified(own).toString()
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = place(path)
+            at = at.getFileSystem(conf).makeQualified(at)
+            if at.getParent().toString() == own:
+                at.getFileSystem(conf).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,16 +28,14 @@ _M = 0x9E3779B97F4A7C15 | 1
 _SEEDS = np.random.default_rng(20240607).integers(1 << 31, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_hashes(column: pa.Array, words: int) -> list[np.ndarray]:
-    """Each text's set of word shingles as sorted distinct 64-bit hashes.
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a column's texts, and n + 1 offsets: text i has words ``of[i]`` to ``of[i + 1]``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text of fewer words has its whole sequence as its one
-    shingle; one without words has none. All words of the batch are hashed at once from running sums of a polynomial.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, hashed at once from running sums of a polynomial.
     """
     data, at = text_bytes(column)
-    n_texts = len(at) - 1
     if not len(data):
-        return [np.zeros(0, dtype=U64)] * n_texts
+        return np.zeros(0, dtype=U64), np.zeros(len(at), dtype=np.int64)
     data = _LOWER[data]
     solid = data != 32
     first = solid.copy()
@@ -55,12 +53,26 @@ def shingle_hashes(column: pa.Array, words: int) -> list[np.ndarray]:
     np.cumsum((data.astype(U64) + U64(1)) * power, out=total[1:])
     inverse = powers(pow(_M, -1, 1 << 64), len(data))[start]
     word = mixed((total[end] - total[start]) * inverse + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
-    of = np.searchsorted(start, at)
+    return word, np.searchsorted(start, at)
+
+
+def run_hashes(word: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words, whether or not a text ends within."""
     spread = powers(0xC2B2AE3D27D4EB4F, words + 1)
     h = np.zeros(max(0, len(word) - words + 1), dtype=U64)
     for k in range(words):
         h += word[k : k + len(h)] * spread[k]
-    h = mixed(h)
+    return mixed(h)
+
+
+def shingle_hashes(column: pa.Array, words: int) -> list[np.ndarray]:
+    """Each text's set of word shingles as sorted distinct 64-bit hashes.
+
+    A text of fewer words has its whole sequence as its one shingle; one without words has none.
+    """
+    word, of = word_hashes(column)
+    spread = powers(0xC2B2AE3D27D4EB4F, words + 1)
+    h = run_hashes(word, words)
     out = []
     for a, b in zip(of[:-1].tolist(), of[1:].tolist()):
         if b - a >= words:
@@ -200,8 +212,8 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     sets = materialize(vertex_sets(keyed, vertices.join(in_buckets, F.col("v") == F.col("need"), "left_semi"), words), "near-sets")
     links = materialize(verified(pairs, sets, percent), "near-links")
     first = materialize(components(links), "near-labels")
-    links = links.unionAll(materialize(crossing(members, first, sets, percent), "near-crossing"))
-    labels = materialize(components(links), "near-labels")
+    more = materialize(crossing(members, first, sets, percent), "near-crossing")
+    labels = first if more.isEmpty() else materialize(components(stars(first).unionAll(more)), "near-labels")
     named = vertices.select("v", "sign", "least").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(least, "label").select("sign", "label", "component_id"), "near-components")
@@ -210,6 +222,11 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     return out.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def stars(labels: DataFrame) -> DataFrame:
+    """Components as links ``a, b`` of their vertices with the least one: what later links are added to."""
+    return labels.select(F.col("v").alias("a"), F.col("label").alias("b"))
+
+
 def vertex_sets(keyed: DataFrame, vertices: DataFrame, words: int) -> DataFrame:
     """``v, n, regs, hashes`` of vertices: their sets, from the text of one row each."""
     want = vertices.select("v", "n", "regs", F.col("id").alias("__id"), F.col("key").alias("__key"))
@@ -243,6 +260,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def numbered(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with the ``block`` that holds each in its cluster, by label and vertex.
+
+    Rows are dealt by ranges of (cluster, label, vertex), so a large cluster spans many tasks: each task counts its own
+    rows of a cluster, and the counts of the tasks before it, one row a task and cluster, are added.
+    """
+    part = materialize(rows.repartitionByRange("cluster", "label", "v").withColumn("part", F.spark_partition_id()), "near-ranges")
+    inside = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("label", "v")) - 1
+    counts = part.groupBy("cluster", "part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("cluster").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("cluster", "part", before.alias("before"))
+    out = part.withColumn("place", inside).join(counts, ["cluster", "part"])
+    return out.select("v", "label", "cluster", F.floor((F.col("place") + F.col("before")) / block).cast("int").alias("block"))
+
+
 def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Links ``a, b`` that join components of ``labels`` inside the clusters of buckets that hold several.
 
@@ -254,8 +286,7 @@ def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     open_ = materialize(named.join(several, "bucket").select("v", "p", "label").distinct(), "near-open")
     cluster = components(open_.select(F.col("v").alias("a"), F.col("p").alias("b")))
     rows = open_.select("v", "label").distinct().join(cluster.withColumnRenamed("label", "cluster"), "v")
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "v")) - 1
-    rows = materialize(rows.withColumn("block", F.floor(place / block).cast("int")), "near-blocks")
+    rows = materialize(numbered(rows, block), "near-blocks")
     blocks = rows.groupBy("cluster", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     x, y = (blocks.select("cluster", *(F.col(c).alias(c + s) for c in ("block", "lo", "hi"))) for s in "xy")
     tiles = x.join(y, "cluster").filter("blockx <= blocky and not (lox = hix and loy = hiy and lox = loy)").select("cluster", "blockx", "blocky", F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquery.llm.bytes_view import U64, mixed, text_bytes
-from clipquery.llm.common import materialize
+from clipquery.llm.common import discard, materialize
+from clipquery.llm.passages import with_passages
 
 #: Bytes of an anchor; a power of two.
 GRAM = 32
@@ -21,6 +22,8 @@ GRAM = 32
 STEP = 1 << 18
 #: Bytes of contexts that are built together in memory; a larger group goes through a file of columns.
 BUDGET = 48 << 20
+#: Bytes of contexts that are cut out of texts at once.
+CUT = 8 << 20
 _M = 0x9E3779B97F4A7C15 | 1
 
 
@@ -161,8 +164,8 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[new], last[np.concatenate((new[1:], [True]))]
 
 
-#: Rows of spans up to this many are broadcast to the texts that they cut; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of spans up to this many are broadcast to the texts that they cut; more are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -219,34 +222,56 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
                 n = np.asarray(lists.value_lengths())
                 base = np.repeat(at[:-1], n)
                 raw = data.tobytes()
-                contexts = [raw[x:y] for x, y in zip((base + first).tolist(), (base + last - 1 + length).tolist())]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(anchor), pa.array(first), pa.array(place - first), pa.array(contexts, pa.binary())], ["key", "anchor", "first", "left", "context"])
+                who, begin, end = np.repeat(np.arange(b.num_rows), n), base + first, base + last - 1 + length
+                # A periodic text has a context at every start, so batches are cut by their bytes.
+                batch = np.cumsum(end - begin) // CUT
+                for at_ in np.split(np.arange(len(who)), np.flatnonzero(batch[1:] != batch[:-1]) + 1) if len(who) else ():
+                    contexts = [raw[x:y] for x, y in zip(begin[at_].tolist(), end[at_].tolist())]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who[at_])), pa.array(anchor[at_]), pa.array(first[at_]), pa.array((place - first)[at_]), pa.array(contexts, pa.binary())], ["key", "anchor", "first", "left", "context"])
 
     contexts = texts.join(wanted, "key").select("key", "text", "at").mapInArrow(cut, "key binary, anchor long, first long, left long, context binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of an anchor. Equal contexts follow each other and are built as one, repeated as a whole; the
+        rows of such a run leave at once but for the first, so memory holds distinct contexts only."""
         held: list[tuple[bytes, int, int, int, bytes]] = []
-        size, last = 0, None
+        again: list[bool] = []  # of held: whether it is repeated as a whole
+        full: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+        size = 0
+
+        def batch(key: list[bytes], first: list[int], last: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["key", "first", "last"])
 
         def flush() -> pa.RecordBatch:
             key, anchor, first, left, context = zip(*held)
             who, lo, hi = repeated_ends(np.array(anchor), list(context), np.array(left), length)
-            start = np.array(first)[who]
+            start, keys = np.array(first)[who], [key[i] for i in who.tolist()]
+            found = batch(keys, (start + lo - length + 1).tolist(), (start + hi + 1).tolist())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([key[i] for i in who.tolist()], pa.binary()), pa.array(start + lo - length + 1), pa.array(start + hi + 1)], ["key", "first", "last"])
+            again.clear()
+            return found
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if row[1] != last and size > BUDGET // 2:  # only whole groups are built
+                if held and row[1] == held[-1][1] and row[3:] == held[-1][3:]:
+                    for key, _, first, *_ in [row] if again[-1] else [held[-1], row]:
+                        for to, x in zip(full, (key, first, first + len(row[4]))):
+                            to.append(x)
+                    again[-1] = True
+                    continue
+                if held and row[1] != held[-1][1] and size > BUDGET // 2:  # only whole groups are built
                     yield flush()
                     size = 0
-                last = row[1]
                 held.append(row)
+                again.append(False)
                 size += len(row[4]) + 200
+            if full[0]:
+                yield batch(*full)
+                full = ([], [], [])
         if held:
             yield flush()
 
-    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, "key binary, first long, last long")
+    spans = contexts.repartition("anchor").sortWithinPartitions("anchor", "left", "context").mapInArrow(build, "key binary, first long, last long")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -255,10 +280,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"first": x, "last": y} for x, y in zip(f.tolist(), g.tolist())] for f, g in found], kind)], ["key", "spans"])
 
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return materialize(listed.mapInArrow(join, "key binary, spans array<struct<first: long, last: long>>"), "suffix-spans")
+    spans = materialize(listed.mapInArrow(join, "key binary, spans array<struct<first: long, last: long>>"), "suffix-spans")
+    discard(seen, shared)
+    return spans
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, passages: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in the texts.
 
     Strings are judged on the input, as bytes of UTF-8, never across documents; overlaps count.
@@ -271,7 +298,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        sequence. Strings whose common length reaches ``length`` are repeated.
     4. Spans of a text are joined; texts that several rows share are repeated as a whole.
 
-    Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``, ``kept``, the remaining bytes.
+    Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``, ``kept``, the remaining bytes. With
+    ``passages`` a column ``repeats_passage`` follows (:func:`clipquery.llm.passages.shared_passages`): a passage of
+    over 50 words may have fewer than ``length`` bytes, so what is removed does not tell all of them.
     Null and empty texts have 0 bytes. Ids may be null or repeated: rows count as separate documents. Other columns
     are ignored; an empty table gives an empty result.
     """
@@ -292,14 +321,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sha = F.sha2(text, 256)
-    ids = docs.select(F.col(id_col).alias("id"), F.unhex(F.substring(sha, 1, 32)).alias("key"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
+    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.unhex(F.substring(sha, 1, 32)).alias("key"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n_bytes"))
+    ids = ids if passages else ids.drop("text_hash")
     copies = ids.groupBy("key").agg(F.count("*").alias("copies"))
     rows = ids.join(copies, "key").join(spans, "key", "left")
     # Only texts of which a part goes are read again.
     removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"]), F.lit(0).cast("long"))
     all_ = (F.col("n_bytes") >= length) & (F.col("copies") > 1)
     rows = rows.withColumn("n_removed", F.when(all_, F.col("n_bytes")).otherwise(removed)).withColumn("n_spans", F.when(all_, 1).otherwise(F.coalesce(F.size("spans"), F.lit(0))).cast("long")).drop("spans", "copies")
-    cut = spans if spans.count() > BROADCAST_ROWS else F.broadcast(spans)
+    size = spans.agg(F.sum(64 + 16 * F.size("spans"))).first()[0] or 0
+    cut = spans if size > BROADCAST_BYTES else F.broadcast(spans)
     every = keyed(docs, text_col)
     if with_text:
         every = every.groupBy("key").agg(F.first("text").alias("text")).join(spans, "key", "left")
@@ -311,4 +342,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.col("n_removed") == F.col("n_bytes")
     kept = F.when(whole, none).when(F.col("n_removed") == 0, F.col("sha")).otherwise(F.col("kept_sha256"))
     more = [F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] * with_text
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), *more)
+    out = out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), *more, *["text_hash"] * passages)
+    return with_passages(out, docs, text_col) if passages else out

@@ -484,3 +484,67 @@ def test_trie_distances_are_exact():
         best = min((edits(w, t), k) for k, t in enumerate(terms))
         for most in (1, 2):
             assert trie.near(w, most) == (best if best[0] <= most else None)
+
+
+def test_suffix_dedup_of_a_table(spark):
+    """400 bytes, every row of the smallest table, against sets of all its strings."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    raw = {r.doc_id: (r.text or "").encode() for r in rows}
+    count = Counter(hash(t[i : i + 400]) for t in raw.values() for i in range(len(t) - 399))
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for i, t in raw.items()}
+    runs = lambda n: Counter(x for w in words.values() for x in {tuple(w[k : k + n]) for k in range(len(w) - n + 1)})
+    long, short = runs(51), runs(20)
+    for r in queries.op3_suffix_dedup(spark, SMALL).collect():
+        t, gone = raw[r.doc_id], np.zeros(len(raw[r.doc_id]), dtype=bool)
+        for i in range(len(t) - 399):
+            if count[hash(t[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        left = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
+        starts = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if t else 0
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), int(gone.sum()), starts, hashlib.sha256(left).hexdigest())
+        w = words[r.doc_id]
+        if any(long[tuple(w[k : k + 51])] > 1 for k in range(len(w) - 50)):
+            assert r.repeats_passage
+        elif not any(short[tuple(w[k : k + 20])] > 1 for k in range(len(w) - 19)):
+            assert not r.repeats_passage
+
+
+def test_suffix_dedup_of_a_periodic_text(spark):
+    rows = docs_of(spark, [(1, "a" * 30_000, "a"), (2, "ab" * 500, "a"), (3, "b" * 399, "a")])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(rows).collect()}
+    assert got == {1: (30_000, 30_000, 1), 2: (1000, 1000, 1), 3: (399, 0, 0)}
+
+
+def test_passages_of_messy_rows(spark, docs, rows, empty):
+    got = suffix_dedup.suffix_dedup(docs, passages=True).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if r.repeats_passage} >= {300, 301}
+    assert not any(r.repeats_passage for r in got if r.doc_id in (200, 201, 202, 400, 401))
+    assert suffix_dedup.suffix_dedup(empty, passages=True).count() == 0
+
+
+def test_near_components_of_a_table(spark):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    root = components_by_hand([shingles(t, 4) for _, t in rows])
+    got = {r.doc_id: r.component_id for r in queries.op4_near_components(spark, SMALL).collect()}
+    assert got == {i: rows[root[k]][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(v, v // 7, v % 3 if v > 40 else 9) for v in range(200)], "v long, label long, cluster long")
+    got = near_dedup.numbered(rows, 16).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.cluster, r.label, r.v)):
+        by[r.cluster].append(r.block)
+    assert len(got) == 200 and all(b == [k // 16 for k in range(len(b))] for b in by.values())
+
+
+@pytest.mark.parametrize("folder", ["{}", "file://{}", "file:{}/"])
+def test_discard(spark, tmp_path, folder, monkeypatch):
+    from clipquery.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: folder.format(tmp_path).rstrip("/"))
+    keep, drop = (common.materialize(spark.range(5).toDF("id"), x) for x in ("keep", "drop"))
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    common.discard(drop, spark.read.parquet(f"{tmp_path}/other"))
+    assert [p.name.split("-")[0] for p in (tmp_path / "clipquery").iterdir()] == ["keep"] and keep.count() == 5
+    assert (tmp_path / "other").exists()
