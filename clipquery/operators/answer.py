@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquery.functions.text import clock_range, question_type, snippet
+from clipquery.operators import attribute
+from clipquery.operators.common import ranked
 
 TEMPLATES = {
     "procedural": "List the steps that the evidence shows, in order.", "diagnostic": "Name the signs that the evidence shows and what they point to.",
@@ -63,12 +65,13 @@ def cite(answer: Column, times: Column, most: int = 10) -> Column:
 
     ``times`` is an array of time ranges; marks beyond it stay.
     """
-    out = answer
-    for i in range(1, most + 1):
-        t = F.coalesce(F.try_element_at(times, F.lit(i)), F.lit(None))
-        full = F.regexp_replace(out, F.lit(rf"\[Evidence {i}\]"), F.concat(F.lit(f"[Evidence {i}, "), t, F.lit("]")))
-        out = F.coalesce(F.regexp_replace(full, F.lit(rf"(?<!\[)Evidence {i}(?![\d\]])(?!\s*\()"), F.concat(F.lit(f"Evidence {i} ("), t, F.lit(")"))), out)
-    return out
+    def step(said: Column, i: Column) -> Column:
+        t, n = F.try_element_at(times, i), i.cast("string")
+        full = F.regexp_replace(said, F.concat(F.lit(r"\[Evidence "), n, F.lit(r"\]")), F.concat(F.lit("[Evidence "), n, F.lit(", "), t, F.lit("]")))
+        bare = F.concat(F.lit(r"(?<!\[)Evidence "), n, F.lit(r"(?![\d\]])(?!\s*\()"))
+        return F.coalesce(F.regexp_replace(full, bare, F.concat(F.lit("Evidence "), n, F.lit(" ("), t, F.lit(")"))), said)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), answer, step)
 
 
 def extractive(prompt: Column) -> Column:
@@ -82,6 +85,39 @@ def answers(ctx: DataFrame, model: Callable[[Column], Column] = extractive) -> D
     return p.select("query_id", "query_type", F.when(F.col("sufficient"), model(F.col("prompt"))).otherwise(F.col("refusal")).alias("answer"), "confidence", "sufficient")
 
 
+def minimal_prompt(question: Column, texts: Column, k: int = 3, chars: int = 200) -> Column:
+    """A short prompt: the question and the first texts, without times or instructions."""
+    lines = F.transform(F.slice(texts, 1, k), lambda t: F.concat(F.lit("- "), snippet(F.coalesce(t, F.lit("")), chars)))
+    return F.concat(F.lit("Q: "), question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nA:"))
+
+
+def batch_prompt(rows: DataFrame, batch: str) -> DataFrame:
+    """``batch, prompt``: the minimal prompts of a batch (columns ``ix`` and ``prompt``) as one, numbered in order."""
+    line = F.struct("ix", "prompt")
+    g = rows.groupBy(batch).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    return g.select(batch, F.array_join(F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["prompt"])), "\n\n").alias("prompt"))
+
+
+def chain(ctx: DataFrame, model: Callable[[Column], Column] = extractive, curated: Callable[[DataFrame], DataFrame] | None = None, k: int = 3, similarity: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole way from contexts to answers: curate (or take the first ``k``), gate, prompt, model, citations, claims.
+
+    Returns answers (``query_id, query_type, answer, sufficient, confidence, n_claims``) and the claims' evidence. A
+    refusal has confidence 0 and no claims. The confidence of others is the mean over their claims, else that of the
+    gate. ``curated`` maps contexts to chosen ones with ``rank``.
+    """
+    chosen = curated(ctx) if curated else ctx.filter(F.col("rank") <= k)
+    times = F.transform(F.sort_array(F.collect_list(F.struct("rank", clock_range(F.col("start"), F.col("end")).alias("t")))), lambda x: x["t"])
+    said = answers(chosen, model).join(chosen.groupBy("query_id").agg(times.alias("times")), "query_id")
+    said = said.withColumn("answer", F.when(F.col("sufficient"), cite(F.col("answer"), F.col("times"))).otherwise(F.col("answer")))
+    given = said.filter("sufficient").select(F.col("query_id").alias("answer_id"), F.col("answer").alias("text"))
+    shown = ranked(chosen.drop("evidence_ix").withColumnRenamed("rank", "place"), ["query_id"], [F.col("place")], "evidence_ix").select(F.col("query_id").alias("answer_id"), "evidence_ix", "text")
+    claims = attribute.attribute(attribute.claims(given), shown, None, similarity)
+    sure = attribute.stats(claims).select(F.col("answer_id").alias("query_id"), "n_claims", F.col("confidence").alias("by_claims"))
+    j = said.join(sure, "query_id", "left")
+    conf = F.when(F.col("sufficient"), F.coalesce("by_claims", "confidence")).otherwise(0.0)
+    return j.select("query_id", "query_type", "answer", "sufficient", conf.alias("confidence"), F.coalesce("n_claims", F.lit(0).cast("long")).alias("n_claims")), claims
+
+
 def cost_totals(rows: DataFrame, order: str) -> DataFrame:
     """Running cost of a batch in ``order``; a batch is one conversation."""
     w = Window.partitionBy("conv_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

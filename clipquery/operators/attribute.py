@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipquery.functions.text import evidence_number, jaccard, sentences, support_level
@@ -20,17 +22,19 @@ def word_set(text):  # noqa: ANN001, ANN201
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def attribute(claim_rows: DataFrame, evidence: DataFrame, conflicted: DataFrame | None = None) -> DataFrame:
+def attribute(claim_rows: DataFrame, evidence: DataFrame, conflicted: DataFrame | None = None, similarity: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Each claim's best evidence by word overlap, with level and best quoted sentence.
 
     ``evidence`` is (answer_id, evidence_ix from 1, text). A claim that names ``Evidence N`` takes that one with
     certainty. Ties go to the first evidence; a claim that overlaps nothing has none. ``conflicted`` is (answer_id,
-    evidence_ix) of evidence that takes part in a conflict.
+    evidence_ix) of evidence that takes part in a conflict. ``similarity`` of claim and evidence texts, such as a
+    sentence model's, replaces the word overlap.
     """
     c = claim_rows.select("answer_id", "claim_ix", "claim", word_set(F.col("claim")).alias("cw"), evidence_number(F.col("claim")).alias("named"))
     e = evidence.select("answer_id", F.col("evidence_ix"), F.col("text").alias("evidence"), word_set(F.col("text")).alias("ew"))
     named = F.col("named") == F.col("evidence_ix")
-    j = c.join(e, "answer_id").withColumn("similarity", F.when(named, 1.0).otherwise(F.round(jaccard(F.col("cw"), F.col("ew")), 6))).withColumn("sure", F.coalesce(named, F.lit(False)))
+    alike = similarity(F.col("claim"), F.col("evidence")) if similarity else jaccard(F.col("cw"), F.col("ew"))
+    j = c.join(e, "answer_id").withColumn("similarity", F.when(named, 1.0).otherwise(F.round(alike, 6))).withColumn("sure", F.coalesce(named, F.lit(False)))
     best = ranked(j.filter("similarity > 0"), ["answer_id", "claim_ix"], [F.col("sure").desc(), F.col("similarity").desc(), F.col("evidence_ix")]).filter("rank = 1")
     out = c.select("answer_id", "claim_ix", "claim").join(best.select("answer_id", "claim_ix", "evidence_ix", "evidence", "similarity", "sure"), ["answer_id", "claim_ix"], "left")
     level = F.when(F.col("evidence_ix").isNull(), "UNSUPPORTED").when(F.col("sure"), "HIGH").otherwise(support_level(F.col("similarity"), F.col("claim"), F.col("evidence")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipquery.operators.common import ranked
+
 
 def first_url(rows: DataFrame, key: str, url: str, order: str) -> DataFrame:
     """The first URL in ``order`` of each key; rows without key or URL (null or empty) don't count."""
@@ -24,6 +26,11 @@ def with_both(rows: DataFrame, textual: DataFrame, visual: DataFrame, key: str)
     return rows.join(textual.select(key), key, "left_semi").join(visual.select(key), key, "left_semi")
 
 
+def keep_first(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first whole row of each group in ``order``; null keys are a group of their own."""
+    return ranked(rows, by, [F.col(c) for c in order], "__turn").filter("__turn = 1").drop("__turn")
+
+
 def union_splits(tables: dict[str, DataFrame], split: str = "all") -> DataFrame:
     """One split's table or all of them in one, with a ``split`` column; absent splits are passed over."""
     names = [n for n in (("train", "test", "val") if split == "all" else (split,)) if n in tables]

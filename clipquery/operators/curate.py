@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +105,8 @@ def curate(ctx: DataFrame, threshold: float = 0.1, budget: int = 2000) -> tuple[
     left = resolve(scored, found)
     left = ranked(left.drop("rank"), ["query_id"], [F.col("relevance").desc(), F.col("segment_id")])
     chosen = adaptive_select(left, budget)
-    n = lambda d, c: d.groupBy("query_id").agg(F.count("*").alias(c))
-    stats = n(ctx, "initial").join(n(good, "after_quality"), "query_id", "left").join(n(found, "conflicts"), "query_id", "left").join(n(left, "after_conflicts"), "query_id", "left").join(n(chosen, "selected"), "query_id", "left").fillna(0)
+    stages = {"initial": ctx, "after_quality": good, "conflicts": found, "after_conflicts": left, "selected": chosen}
+    seen = reduce(DataFrame.unionAll, (d.select("query_id", F.lit(c).alias("stage")) for c, d in stages.items()))
+    stats = seen.groupBy("query_id").agg(*(F.count_if(F.col("stage") == c).alias(c) for c in stages)).filter("initial > 0")
     stats = stats.withColumn("pass_rate", F.round(F.col("after_quality") / F.col("initial"), 6)).withColumn("reduction_rate", F.round(1 - F.col("selected") / F.col("initial"), 6))
     return chosen, found, stats

@@ -13,6 +13,10 @@ from clipquery.functions.vector import normalized, squared_distance
 from clipquery.operators.common import BROADCAST_ROWS, top
 
 
+#: Queries that make one matrix: at 1,024 components 16 MB.
+MATRIX_ROWS = 2_000
+
+
 def normalized_vectors(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """Vectors as doubles of length 1; rows of length 0 are left out."""
     return vectors.withColumn(vector_col, normalized(F.col(vector_col).cast("array<double>"))).filter(F.col(vector_col).isNotNull())
@@ -21,10 +25,16 @@ def normalized_vectors(vectors: DataFrame, vector_col: str = "embedding") -> Dat
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``query_id, row_id, distance, rank``: each query's ``k`` nearest rows by squared distance, ties to smaller ids.
 
-    ``queries`` is (query_id, qv), ``corpus`` (row_id, v). Few queries are broadcast and each task keeps ``k`` rows
-    per query before the shuffle; more are dealt to blocks that meet every corpus row.
+    ``queries`` is (query_id, qv), ``corpus`` (row_id, v). Up to MATRIX_ROWS queries are one matrix, multiplied with
+    each Arrow batch of the corpus, which keeps ``k`` rows per query; more are broadcast, then dealt to blocks that
+    meet every corpus row.
     """
     n = queries.count()
+    if n <= MATRIX_ROWS:
+        kind = {"query_id": "long"} | dict(queries.dtypes) | dict(corpus.dtypes)
+        held = queries.collect()
+        if held and kind["query_id"] == kind["row_id"] == "bigint":
+            return batched_similarity(corpus, np.array([r.qv for r in held], dtype=np.float64), np.array([r.query_id for r in held]), k)
     if n <= BROADCAST_ROWS:
         pairs = corpus.crossJoin(F.broadcast(queries))
     else:
@@ -42,22 +52,35 @@ def pooled(vectors: DataFrame, by: str, vector_col: str = "embedding", method: s
     return parts.groupBy(by, "pos").agg(F.round(f("x"), 6).alias("value"))
 
 
-def drop_near_vectors(vectors: DataFrame, by: str, order: str, threshold: float, vector_col: str = "embedding") -> DataFrame:
+def drop_near_vectors(vectors: DataFrame, by: str, order: str, threshold: float, vector_col: str = "embedding", entities_col: str | None = None) -> DataFrame:
     """Rows of each group that greedy removal keeps, in ``order``: a row that is closer in cosine than ``threshold`` to
-    a kept earlier row goes. A group is one video's segments, so it fits a task."""
+    a kept earlier row goes. A group is one video's segments, so it fits a task.
+
+    With ``entities_col`` (numbers of entities) of two such rows the one with fewer goes, the later one if they are
+    equal; a row that went while its turn lasts is still held against the rest.
+    """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         v = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         kept: list[int] = []
+        if entities_col:
+            n, gone = pdf["n"].to_numpy(), np.zeros(len(v), dtype=bool)
+            for i in range(len(v)):
+                if not gone[i]:
+                    near = np.flatnonzero((v @ v[i] > threshold) & ~gone & (np.arange(len(v)) > i))
+                    gone[near[n[near] <= n[i]]] = True
+                    gone[i] = bool((n[near] > n[i]).any())
+            return pdf.iloc[np.flatnonzero(~gone)][[by, order]]
         for i in range(len(v)):
             if not kept or (v[kept] @ v[i]).max() <= threshold:
                 kept.append(i)
         return pdf.iloc[kept][[by, order]]
 
     kinds = dict(vectors.dtypes)
-    rows = vectors.select(by, order, F.col(vector_col).cast("array<double>").alias("v"))
+    n = F.coalesce(F.col(entities_col), F.lit(0)) if entities_col else F.lit(0)
+    rows = vectors.select(by, order, F.col(vector_col).cast("array<double>").alias("v"), n.alias("n"))
     return rows.groupBy(by).applyInPandas(keep, f"{by} {kinds[by]}, {order} {kinds[order]}")
 
 
@@ -69,9 +92,19 @@ def batched_similarity(corpus: DataFrame, queries: np.ndarray, ids: np.ndarray,
             if not len(b):
                 continue
             v = np.stack(b["v"].to_numpy())
+            n = min(k, len(v))
             d = np.round((queries**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * queries @ v.T, 6)
-            order = np.lexsort((np.broadcast_to(b["row_id"].to_numpy(), d.shape), d), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "row_id": b["row_id"].to_numpy()[order.reshape(-1)], "distance": np.take_along_axis(d, order, 1).reshape(-1)})
+            if n < len(v):  # rows beyond the k-th distance can't be among the first k; ties with it stay
+                most = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
+                who, which = np.nonzero(d <= most)
+            else:
+                who, which = np.repeat(np.arange(len(d)), len(v)), np.tile(np.arange(len(v)), len(d))
+            row, far = b["row_id"].to_numpy()[which], d[who, which]
+            by = np.lexsort((row, far, who))
+            who, row, far = who[by], row[by], far[by]
+            first = np.searchsorted(who, np.arange(len(d)))
+            top_ = np.arange(len(who)) - first[who] < k
+            yield pd.DataFrame({"query_id": ids[who[top_]], "row_id": row[top_], "distance": far[top_]})
 
     part = corpus.select("row_id", "v").mapInPandas(run, "query_id long, row_id long, distance double")
     return top(part, ["query_id"], [F.col("distance"), F.col("row_id")], k)

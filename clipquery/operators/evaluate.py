@@ -86,6 +86,20 @@ def summary(metrics: DataFrame, names: list[str]) -> DataFrame:
     return g
 
 
+def video_found(hits: DataFrame, truth: DataFrame) -> DataFrame:
+    """``query_id, correct_video``: whether any hit is of one of the query's right videos; queries without hits: false.
+
+    Both are (query_id, video_id).
+    """
+    right = hits.select("query_id", "video_id").distinct().join(truth.select("query_id", "video_id").distinct(), ["query_id", "video_id"]).select("query_id").distinct().withColumn("correct_video", F.lit(True))
+    return truth.select("query_id").distinct().join(right, "query_id", "left").withColumn("correct_video", F.coalesce("correct_video", F.lit(False)))
+
+
+def rates(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """One row: for each name the share of rows whose flag holds, nulls counting as not; 0 without rows."""
+    return rows.agg(*(F.round(F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")), F.lit(0.0)), 6).alias(name) for name, c in flags.items()))
+
+
 def compare_ranks(first: DataFrame, second: DataFrame, truth: DataFrame) -> DataFrame:
     """Where two searches find each query's expected document, and how many places the second gains."""
     best = lambda h, c: truth.join(h, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias(c))

@@ -61,9 +61,13 @@ def chunk_overlap(segments: DataFrame, chunks: DataFrame) -> DataFrame:
 
     ``chunks`` is (video_id, start, end). The join is on the video, so ranges are compared within a video only.
     """
+    return times(segments, chunks).select("segment_id", F.size("ts").alias("n_chunks"), F.element_at("ts", 1)["start"].alias("first_start"), F.array_max(F.transform("ts", lambda t: t["end"])).alias("last_end"), middle(F.col("ts"))["start"].alias("middle_start"))
+
+
+def times(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``video_id, segment_id, ts``: the ranges of the chunks that meet a window, in order."""
     j = segments.select("video_id", "segment_id", "start_token", "end_token").join(chunks, "video_id").filter("start <= end_token and end >= start_token")
-    g = j.groupBy("video_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ts"))
-    return g.select("segment_id", F.size("ts").alias("n_chunks"), F.element_at("ts", 1)["start"].alias("first_start"), F.array_max(F.transform("ts", lambda t: t["end"])).alias("last_end"), middle(F.col("ts"))["start"].alias("middle_start"))
+    return j.groupBy("video_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ts"))
 
 
 def middle(ts: Column) -> Column:

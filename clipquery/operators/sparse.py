@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquery.functions.text import tokens
-from clipquery.operators.common import BROADCAST_ROWS, top
+from clipquery.operators.common import BROADCAST_ROWS, ranked, top
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, empty_docs: int = 0) -> DataFrame:
-    """``query_id, doc_id, bm25_score, rank`` of each query's best documents, scores above 0 only.
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, empty_docs: int = 0) -> DataFrame:
+    """``query_id, doc_id, bm25_score, rank`` of each query's best documents, scores above 0 only; all
+    documents where ``k`` is None.
 
     ``docs`` is (doc_id, text), ``queries`` (query_id, text). A term's weight is ln((N - df + .5) / (df + .5)), and
     ``floor`` times the mean weight of all terms where that is negative; query terms count as often as they occur.
@@ -37,4 +38,5 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     length = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + length)
     scored = tf.join(hint(weights), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("bm25_score")).filter("bm25_score > 0")
-    return top(scored, ["query_id"], [F.col("bm25_score").desc(), F.col("doc_id")], k)
+    order = [F.col("bm25_score").desc(), F.col("doc_id")]
+    return ranked(scored, ["query_id"], order) if k is None else top(scored, ["query_id"], order, k)

@@ -119,11 +119,12 @@ def said(spark: SparkSession, d: str) -> DataFrame:
     return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text")
 
 
-def heard(spark: SparkSession, d: str) -> DataFrame:
-    """The three turns before each answer as its evidence: equi-joins, however long a conversation is."""
+def heard(spark: SparkSession, d: str, back: int = 3) -> DataFrame:
+    """The ``back`` turns before each answer as its evidence: equi-joins, however long a conversation is. All turns of a
+    conversation instead would make a long one's work grow with its square."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    back = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("evidence_ix")
-    a = said(spark, d).select("answer_id", "conv_id", F.col("turn").alias("at"), back).withColumn("turn", F.col("at") - F.col("evidence_ix"))
+    before = F.explode(F.sequence(F.lit(1), F.lit(back))).alias("evidence_ix")
+    a = said(spark, d).select("answer_id", "conv_id", F.col("turn").alias("at"), before).withColumn("turn", F.col("at") - F.col("evidence_ix"))
     return a.join(turns, ["conv_id", "turn"]).select("answer_id", "evidence_ix", "text")
 
 

@@ -36,7 +36,8 @@ def dup_questions(spark: SparkSession, d: str) -> DataFrame:
 
 def union_splits(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return clean.union_splits({s: docs.filter(F.col("lang") == lang) for s, lang in (("train", "en"), ("test", "fr"), ("val", "de"))})
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    return clean.union_splits({"train": docs.filter(lang == "en"), "test": docs.filter(lang == "fr"), "val": docs.filter(~lang.isin("en", "fr"))})
 
 
 def valid_times(spark: SparkSession, d: str) -> DataFrame:
@@ -193,7 +194,7 @@ SQL = {
     "both_modalities": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id IN (SELECT vec_id FROM embeddings)",
     "first_url": "SELECT host, arg_min(url, page_id) AS url FROM (SELECT regexp_extract(url, '^https?://([^/:]+)', 1) AS host, url, page_id FROM pages) WHERE host <> '' AND url <> '' GROUP BY host",
     "dup_questions": "SELECT * FROM (SELECT doc_id, source, lang, md5(text) AS digest, count(*) OVER (PARTITION BY md5(text), lang) AS copies FROM documents) WHERE copies > 1",
-    "union_splits": "SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test' ELSE 'val' END AS split FROM documents WHERE lang IN ('en', 'fr', 'de')",
+    "union_splits": "SELECT doc_id, lang, CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test' ELSE 'val' END AS split FROM documents",
     "valid_times": "SELECT event_id, value AS start, round(600 - value * 5, 6) AS \"end\" FROM events WHERE value >= 0 AND 600 - value * 5 > value AND 600 - value * 5 <= 600",
     "ground_truth": "SELECT q.item_id AS query_id, t.item_id AS sample_id, t.item_id AS video_id, 0E0 AS answer_start, length(t.text)::DOUBLE AS answer_end FROM benchmark q JOIN (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY item_id) AS n FROM benchmark) t ON t.n = 1 AND lower(trim(t.text)) = lower(trim(q.text))",
     "char_offsets": "SELECT conv_id AS video_id, turn AS chunk_ix, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations",

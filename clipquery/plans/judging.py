@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipquery.operators import evaluate, segments, textmetrics
+from clipquery.operators import evaluate, match, segments, textmetrics
 from clipquery.plans.answering import entities_sql
 from clipquery.plans.search import COVERED, PROXY, SEG, bm25_sql, bm25_topk, documents, proxy_hits, questions, windowed
 from clipquery.sources.tables import table
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: the stated queries against all rows, in one pass over the texts."""
-    q = questions(spark, d).withColumnRenamed("text", "passage")
-    return documents(spark, d).crossJoin(F.broadcast(q)).filter(F.contains("text", "passage")).select("query_id", "doc_id").distinct()
+    """Documents that hold a benchmark passage: the stated queries against all rows."""
+    return match.containing(documents(spark, d), questions(spark, d).withColumnRenamed("text", "passage"))
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +56,8 @@ def temporal_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevant_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of the first three thousand tokens as hits of their own document's query."""
-    hits = spans(spark, d).filter("start_token < 3000").select(F.col("video_id").alias("query_id"), "video_id", "segment_id", F.col("start_token").cast("double").alias("start"), F.col("end_token").cast("double").alias("end"))
+    """All windows as hits of their own document's query."""
+    hits = spans(spark, d).select(F.col("video_id").alias("query_id"), "video_id", "segment_id", F.col("start_token").cast("double").alias("start"), F.col("end_token").cast("double").alias("end"))
     t = middle_truth(spark, d).select(F.col("video_id").alias("query_id"), "video_id", F.col("gs").alias("start"), F.col("ge").alias("end"))
     return evaluate.relevant_segments(hits, t)
 
@@ -105,8 +104,8 @@ def entity_f1(spark: SparkSession, d: str) -> DataFrame:
 
 def average_score(spark: SparkSession, d: str) -> DataFrame:
     """The mean of all similarities of a pair."""
-    names = [*(f"bleu_{k}" for k in range(1, 5)), "rouge_1", "rouge_2", "entity_f1"]
-    m = bleu(spark, d).join(rouge_n(spark, d), "pair_id").join(entity_f1(spark, d), "pair_id")
+    names = [*(f"bleu_{k}" for k in range(1, 5)), "rouge_1", "rouge_2", "rouge_l", "entity_f1"]
+    m = bleu(spark, d).join(rouge_n(spark, d), "pair_id").join(rouge_l(spark, d), "pair_id").join(entity_f1(spark, d), "pair_id")
     return m.select("pair_id", F.round(sum((F.col(n) for n in names), F.lit(0.0)) / len(names), 5).alias("average_score"))
 
 
@@ -161,6 +160,13 @@ def rouge_sql() -> str:
 ENTITY = f"""SELECT pair_id, round(CASE WHEN len(r) = 0 THEN CASE WHEN len(c) = 0 THEN 1E0 ELSE 0E0 END ELSE 2E0 * len(list_intersect(c, r)) / (len(c) + len(r)) END, 6) AS entity_f1
  FROM (SELECT pair_id, {entities_sql("candidate")} AS c, {entities_sql("reference")} AS r FROM pairs)"""
 GRAMS = f"{grams_sql('b', "list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')", range(1, 5))}, {grams_sql('r', "regexp_extract_all(lower({x}), '[a-z0-9]+')", range(1, 3))}"
+#: One token of the candidate a round: lengths of common subsequences with each head of the reference.
+LCS = """
+ lw AS (SELECT pair_id, 0 AS k, list_transform(r, lambda x: 0) AS row FROM rt
+   UNION ALL SELECT lw.pair_id, lw.k + 1, list_transform(range(1, nr + 1), lambda j: list_max(m[1 : j])) FROM lw JOIN rt USING (pair_id),
+   LATERAL (SELECT list_transform(range(1, nr + 1), lambda j: greatest(lw.row[j], CASE WHEN r[j] = c[lw.k + 1] THEN coalesce(lw.row[j - 1], 0) + 1 ELSE 0 END)) AS m) WHERE lw.k < nc),
+ lc AS (SELECT pair_id, coalesce(list_max(row), 0) AS n FROM lw JOIN rt USING (pair_id) WHERE k = nc)"""
+ROUGE_L = "SELECT pair_id, round(CASE WHEN nc + nr > 0 THEN 2E0 * n / (nc + nr) ELSE 0E0 END, 6) AS rouge_l FROM rt JOIN lc USING (pair_id)"
 BEST = "SELECT query_id, min(rank) AS {c} FROM tr JOIN {h} USING (query_id, doc_id) GROUP BY 1"
 
 SQL = {
@@ -170,7 +176,7 @@ SQL = {
     "ndcg": f"WITH {JUDGED} {NDCG}",
     "reciprocal_rank": f"WITH {JUDGED} SELECT query_id, round(coalesce(1E0 / min(rank) FILTER (rel = 1), 0E0), 6) AS reciprocal_rank FROM jd GROUP BY query_id",
     "temporal_overlap": f"WITH RECURSIVE {OVERLAP} SELECT * FROM ov",
-    "relevant_segments": f"WITH RECURSIVE {SPANS} SELECT DISTINCT video_id AS query_id, segment_id FROM seg JOIN gt USING (video_id) WHERE start_token < 3000 AND greatest(start_token, gs) < least(end_token, ge)",
+    "relevant_segments": f"WITH RECURSIVE {SPANS} SELECT DISTINCT video_id AS query_id, segment_id FROM seg JOIN gt USING (video_id) WHERE greatest(start_token, gs) < least(end_token, ge)",
     "assessment": f"WITH RECURSIVE {OVERLAP} SELECT video_id, iou, temporal_recall > 0 AS correct_video, CASE WHEN temporal_recall <= 0 THEN 'critical' WHEN iou >= 0.7E0 THEN 'excellent' WHEN iou >= 0.5E0 THEN 'good' WHEN iou >= 0.3E0 THEN 'fair' ELSE 'poor' END AS assessment FROM ov",
     "metric_summary": f"""WITH {JUDGED}, m AS (SELECT * FROM ({pr_sql(False)}) JOIN ({AP}) USING (query_id) JOIN ({NDCG}) USING (query_id)),
  l AS (UNPIVOT (SELECT precision_5, recall_5, f1_5, average_precision, ndcg_10 FROM m) ON COLUMNS(*) INTO NAME metric VALUE value)
@@ -180,8 +186,9 @@ SQL = {
  SELECT *, first_rank - second_rank AS improvement, CASE WHEN first_rank IS NULL AND second_rank IS NULL THEN 'neither' WHEN first_rank IS NULL THEN 'second only' WHEN second_rank IS NULL THEN 'first only' WHEN first_rank > second_rank THEN 'better' WHEN first_rank < second_rank THEN 'worse' ELSE 'same' END AS verdict FROM c""",
     "bleu": f"WITH {PAIRS}, {GRAMS} {bleu_sql()}",
     "rouge_n": f"WITH {PAIRS}, {GRAMS} {rouge_sql()}",
+    "rouge_l": f"WITH RECURSIVE {PAIRS}, {GRAMS}, {LCS} {ROUGE_L}",
     "entity_f1": f"WITH {PAIRS} {ENTITY}",
-    "average_score": f"WITH {PAIRS}, {GRAMS} SELECT pair_id, round((bleu_1 + bleu_2 + bleu_3 + bleu_4 + rouge_1 + rouge_2 + entity_f1) / 7, 5) AS average_score FROM ({bleu_sql()}) JOIN ({rouge_sql()}) USING (pair_id) JOIN ({ENTITY}) USING (pair_id)",
+    "average_score": f"WITH RECURSIVE {PAIRS}, {GRAMS}, {LCS} SELECT pair_id, round((bleu_1 + bleu_2 + bleu_3 + bleu_4 + rouge_1 + rouge_2 + rouge_l + entity_f1) / 8, 5) AS average_score FROM ({bleu_sql()}) JOIN ({rouge_sql()}) USING (pair_id) JOIN ({ROUGE_L}) USING (pair_id) JOIN ({ENTITY}) USING (pair_id)",
 }
 
 QUERIES = {f.__name__: f for f in (

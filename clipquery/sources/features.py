@@ -27,7 +27,9 @@ def read_features(spark: SparkSession, folder: str, schema: str | StructType = T
     bad = StructType([*schema.fields]).add("_corrupt", "string")
     raw = spark.read.schema(bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     rows = raw.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{folder}/{split}" if split else folder)
-    return rows.withColumn("source_file", F.col("_metadata.file_path")).filter("_corrupt is null").drop("_corrupt")
+    # Spark refuses to read the column of bad files alone, as a count would, so the filter reads a second one.
+    good = F.col("_corrupt").isNull() | (F.col(schema.fieldNames()[0]).isNotNull() & (F.length("_corrupt") < 0))
+    return rows.withColumn("source_file", F.col("_metadata.file_path")).filter(good).drop("_corrupt")
 
 
 def of_videos(features: DataFrame, videos: DataFrame) -> DataFrame:
