@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipquery.llm.bytes_view import U64, mixed, powers, text_bytes
-from clipquery.llm.common import materialize, unused
+from clipquery.llm.common import discard, materialize, unused
 from clipquery.llm.components import components
 
 #: Registers are floor(1 - log_BASE(least hash)); near 1, so unrelated sets rarely share one.
@@ -200,8 +200,8 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
             yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(1).to_numpy(), BANDS))], ["bucket", "v", "n"])
 
     members = vertices.select("v", "n", "regs").mapInArrow(bands, "bucket long, v long, n long")
-    shared = materialize(members.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("pivot"), F.count("*").alias("rows")).filter("rows > 1"), "near-buckets")
-    shared = shared.select("bucket", F.col("pivot.v").alias("p"), F.col("pivot.n").alias("pn"))
+    buckets = materialize(members.groupBy("bucket").agg(F.min(F.struct("v", "n")).alias("pivot"), F.count("*").alias("rows")).filter("rows > 1"), "near-buckets")
+    shared = buckets.select("bucket", F.col("pivot.v").alias("p"), F.col("pivot.n").alias("pn"))
     members = materialize(members.join(shared, "bucket"), "near-members")
 
     def fits(pairs: DataFrame) -> DataFrame:
@@ -217,6 +217,7 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     named = vertices.select("v", "sign", "least").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(least, "label").select("sign", "label", "component_id"), "near-components")
+    discard(vertices, buckets, members, pairs, sets, links, more, first, *[labels] * (labels is not first))
     # A sign stands for one vertex; the sketches' side may hold a hot one, which adaptive joins split.
     out = sketched.select("id", "key", "n", "sign").join(named, "sign", "left")
     return out.select("id", "key", "n", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
