@@ -95,4 +95,32 @@ SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_mix_sources": r"""
+        WITH RECURSIVE
+        d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+        w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s),
+        k AS (SELECT 0 AS round, []::BIGINT[] AS capped, (SELECT sum(source_size) FROM w)::BIGINT AS rest, (SELECT sum(weight) FROM w)::BIGINT AS weights
+              UNION ALL
+              SELECT round + 1, list_concat(capped, more), rest - less, weights - lighter FROM (
+                SELECT k.*, (SELECT list(rank) FROM w WHERE NOT list_contains(k.capped, rank) AND rest * weight > cap * weights) AS more,
+                       (SELECT sum(cap) FROM w WHERE NOT list_contains(k.capped, rank) AND rest * weight > cap * weights)::BIGINT AS less,
+                       (SELECT sum(weight) FROM w WHERE NOT list_contains(k.capped, rank) AND rest * weight > cap * weights)::BIGINT AS lighter FROM k)
+              WHERE more IS NOT NULL),
+        f AS (SELECT * FROM k ORDER BY round DESC LIMIT 1),
+        t AS (SELECT w.*, CASE WHEN list_contains(f.capped, rank) THEN cap::DOUBLE ELSE (weight * f.rest)::DOUBLE / f.weights END AS target FROM w, f),
+        b AS (SELECT ceil(sum(source_size) / 32.0)::BIGINT AS blocks, greatest(1, ceil(sum(source_size) / 4e6))::BIGINT AS shards FROM s),
+        q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * i - 1) DESC, rank) AS place FROM t, b, unnest(range(1, b.blocks + 1)) AS u(i) WHERE target > 0),
+        seats AS (SELECT rank, count(*) * 32 AS seats FROM q, b WHERE place <= blocks GROUP BY rank),
+        n AS (SELECT t.*, coalesce(seats, 0) AS seats, greatest(source_size // 32, least(source_size, 1)) AS n FROM t LEFT JOIN seats USING (rank)),
+        m AS (SELECT *, CASE WHEN source_size > 0 THEN seats // source_size ELSE 0 END AS times FROM n),
+        c AS (SELECT *, least(times * n + least(floor((seats - times * source_size) / 32.0 + 0.5), n), 3 * n)::BIGINT AS q,
+                     CASE WHEN n > 0 THEN ('0x' || substr(md5('42:start:' || rank), 1, 8))::BIGINT % n ELSE 0 END AS start FROM m),
+        o AS (SELECT d.*, c.* EXCLUDE (source), ('0x' || substr(md5('42:shard:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % shards AS shard FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source, b),
+        e AS (SELECT *, row_number() OVER () AS row, sum(size) OVER (PARTITION BY rank ORDER BY shard, md5('42:order:' || coalesce(doc_id::VARCHAR, '')), coalesce(doc_id::VARCHAR, ''), size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM o),
+        x AS (SELECT *, unnest([stop - size, stop]) AS x, unnest([-1, 1]) AS sign FROM e),
+        y AS (SELECT *, least(x // 32, n - 1) AS i FROM x),
+        z AS (SELECT *, ((i + start) * (q % n)) // n - (start * (q % n)) // n AS low, ((i + 1 + start) * (q % n)) // n - (start * (q % n)) // n AS high FROM y),
+        g AS (SELECT row, sum(sign * ((q // n) * x + 32 * low + (x - 32 * i) * (high - low)))::BIGINT AS taken FROM z GROUP BY row)
+        SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE taken END AS taken FROM e JOIN g ON e.row = g.row""",
 }

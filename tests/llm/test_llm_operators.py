@@ -383,6 +383,14 @@ def test_mixing_a_table(spark):
     check_mix(queries.op10_mix_sources(spark, SMALL).collect(), rows, lambda t: 64 + 0.01 * t)
 
 
+def test_mixing_sql(spark, docs, rows):
+    assert oracle.differences(queries.op10_mix_sources(spark, SMALL), oracle.connect(SMALL), queries.SQL["op10_mix_sources"]) == []
+    con = oracle.duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert oracle.differences(mixing.mix(docs), con, queries.SQL["op10_mix_sources"]) == []
+
+
 def test_sainte_lague(spark):
     weights = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}
     df = spark.createDataFrame([("g", k, w, 7) for k, w in weights.items()], "g string, k string, w double, seats long")

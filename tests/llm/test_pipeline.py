@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from clipquery.llm import queries
 from conftest import SMALL
-from test_llm_operators import check_packing, components_by_hand, shingles
+from test_llm_operators import DOCS, check_packing, components_by_hand, docs_of, messy, shingles
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +70,21 @@ def test_pack(spark, stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns == stages[5].columns and got.count() == stages[5].count()
+
+
+def test_messy_rows_and_no_rows(spark, tmp_path):
+    """Nulls in every column, null and repeated ids, empty and long texts, more columns with names used inside."""
+    bare = {200, 201, 202}
+    for name, rows in (("messy", messy()), ("empty", [])):
+        docs = docs_of(spark, rows) if rows else spark.createDataFrame([], DOCS)
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+            f(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}{k}")
+            after = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert after.columns == docs.columns and after.count() <= docs.count() * (3 if stage == "source mix" else 1)
+            docs = after
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+        left = [r.doc_id for r in docs.collect()]
+        assert {p.doc_id for p in pieces} == set(left) and (rows or not pieces)
+        if rows:  # of equal texts (null is empty) the largest id stays, of rows without words each
+            assert bare & set(left) == {201, 202} and {400, 401} <= set(left)
+            assert not {300, 301} <= set(left)
