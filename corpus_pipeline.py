@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clipquery.llm import toxicity
-from clipquery.llm.common import materialize, table
+from clipquery.llm.common import discard, materialize, table
 from clipquery.llm.exact_dedup import drop_copies
 from clipquery.llm.labelled import remainder
 from clipquery.llm.mixing import mixed_documents
@@ -49,5 +49,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(before)  # the tables of stages before the last; the input stays
     return docs
