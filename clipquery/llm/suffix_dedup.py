@@ -20,11 +20,17 @@ from clipquery.llm.passages import with_passages
 GRAM = 32
 #: Starts of windows that are hashed at once.
 STEP = 1 << 18
-#: Bytes of contexts that are built together in memory; a larger group goes through a file of columns.
-BUDGET = 48 << 20
+#: Bytes of contexts that are built together; a larger batch ends with the group that it is in.
+BUDGET = 24 << 20
+#: Bytes of contexts whose columns stay in memory; more go through a file of columns.
+IN_MEMORY = 8 << 20
+#: Distinct contexts of an anchor that are built in one task; of more, each string is judged by itself.
+KINDS = 16_384
+#: Anchors or strings that leave a task at once.
+ROWS = 1 << 16
 #: Bytes of contexts that are cut out of texts at once.
 CUT = 8 << 20
-_M = 0x9E3779B97F4A7C15 | 1
+_M, _M2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -60,7 +66,25 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         first.append(new + lo)
         place.append(at[new] + lo)
         value.append(h[at[new]].astype(np.int64))
-    return np.concatenate(first), np.concatenate(place), np.concatenate(value)
+    first_, place_, value_ = (np.concatenate(x) for x in (first, place, value))
+    new = np.concatenate(([True], place_[1:] != place_[:-1]))  # a border of blocks ends no run
+    return first_[new], place_[new], value_[new]
+
+
+def string_hashes(data: np.ndarray, length: int, m: int) -> np.ndarray:
+    """Hashes of all ``length``-byte strings, put together from those of strings of 1, 2, 4, .. bytes."""
+    n = len(data) - length + 1
+    h, k, at = mixed(data.astype(U64) + U64(m)), 1, 0
+    out = np.zeros(n, dtype=U64)
+    while True:
+        if length & k:
+            out = out * U64(m) + h[at : at + n]
+            at += k
+        if 2 * k > length:
+            return mixed(out)
+        h = h[:-k] * U64(m) + h[k:]
+        m = m * m & 0xFFFFFFFFFFFFFFFF
+        k *= 2
 
 
 class Columns:
@@ -74,7 +98,7 @@ class Columns:
         self.width = int(self.end.max())
         self.data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
         self.base = np.concatenate(([0], np.cumsum(size)[:-1])) - self.start
-        self.file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR")) if len(self.data) > BUDGET else None
+        self.file = tempfile.TemporaryFile(dir=os.environ.get("TMPDIR")) if len(self.data) > IN_MEMORY else None
         if self.file:
             for k in range(self.width):
                 self.file.write(self._column(k).tobytes())
@@ -174,11 +198,12 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, kinds: int = KINDS) -> DataFrame:
     """``key, spans``: for texts that hold any, maximal spans ``first, last`` (bytes, half-open) in which every byte is
     covered by a ``length``-byte string that also starts elsewhere in the distinct texts.
 
-    A text that several rows share is searched once; the caller knows that it is repeated as a whole.
+    A text that several rows share is searched once; the caller knows that it is repeated as a whole. Anchors of up to
+    ``kinds`` distinct contexts are built in one task each, the others by :func:`judged_alone`.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -191,25 +216,45 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 data, at = text_bytes(b.column(1))
-                who: list[int] = []
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                held: list[tuple[np.ndarray, ...]] = []
+                digests: list[bytes] = []
+                n = 0
+
+                def found() -> pa.RecordBatch:
+                    who, anchor, place, first, last = (np.concatenate(x) for x in zip(*held))
+                    context = pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(b"".join(digests))]).cast(pa.binary())
+                    return pa.RecordBatch.from_arrays([pa.array(anchor), b.column(0).take(pa.array(who)), *(pa.array(x.astype(np.int32)) for x in (place, first, last)), context], ["anchor", "key", "place", "first", "last", "context"])
+
                 for i in range(b.num_rows):
                     d = data[at[i] : at[i + 1]]
-                    if len(d) >= length:
-                        first, place, value = anchors(d, length)
-                        who += [i] * len(first)
-                        for k, x in enumerate((value, place, first, np.append(first[1:], len(d) - length + 1))):
-                            out[k].append(x)
-                value, place, first, last = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
-                cols = [pa.array(value), b.column(0).take(pa.array(who, pa.int32())), *(pa.array(x.astype(np.int32)) for x in (place, first, last))]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "key", "place", "first", "last"])
-
-    # A copy's anchors are the same rows again and count once. A run that a border of hashing blocks cuts is two rows
-    # that abut, and one again from the least first to the greatest last.
-    seen = rows.mapInArrow(find, "anchor long, key binary, place int, first int, last int")
-    seen = materialize(seen.groupBy("anchor", "key", "place").agg(F.min("first").alias("first"), F.max("last").alias("last")), "suffix-anchors")
-    shared = materialize(seen.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1").select("anchor"), "suffix-shared")
-    wanted = seen.join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("at"))
+                    if len(d) < length:
+                        continue
+                    first, place, value = anchors(d, length)
+                    last = np.append(first[1:], len(d) - length + 1)
+                    raw = d.tobytes()
+                    for k in range(0, len(first), ROWS):  # a periodic text has an anchor at every start
+                        x, y = first[k : k + ROWS], last[k : k + ROWS]
+                        held.append((np.full(len(x), i), value[k : k + ROWS], place[k : k + ROWS], x, y))
+                        digests.append(b"".join(hashlib.md5(raw[u:v]).digest() for u, v in zip(x.tolist(), (y + length - 1).tolist())))
+                        n += len(x)
+                        if n >= ROWS:
+                            yield found()
+                            held, digests, n = [], [], 0
+                if held:
+                    yield found()
+
+    # A copy's anchors are the same rows again and count once. Contexts are known by their digests until they are cut.
+    seen = materialize(rows.mapInArrow(find, "anchor long, key binary, place int, first int, last int, context binary").distinct(), "suffix-anchors")
+    same = seen.groupBy("anchor", (F.col("place") - F.col("first")).alias("left"), "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "first", "last")).alias("one"))
+    same = materialize(same.select("anchor", "n", "one.*"), "suffix-contexts")
+    # Contexts that occur again are repeated as a whole: all but those that occur once, which is asked by text, not by
+    # context, so that no context is a hot key.
+    once = same.filter("n = 1").select("key", "place")
+    again = seen.join(once, ["key", "place"], "left_anti").select("key", F.col("first").cast("long").alias("first"), (F.col("last") + length - 1).cast("long").alias("last"))
+    # One of each kind is built with the others of its anchor.
+    shared = materialize(same.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "suffix-shared")
+    every = same.join(shared, "anchor")
+    wanted = every.filter(F.col("kinds") <= kinds).groupBy("key").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -232,46 +277,33 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     contexts = texts.join(wanted, "key").select("key", "text", "at").mapInArrow(cut, "key binary, anchor long, first long, left long, context binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole groups of an anchor. Equal contexts follow each other and are built as one, repeated as a whole; the
-        rows of such a run leave at once but for the first, so memory holds distinct contexts only."""
+        """Whole groups of an anchor, of a bounded number of contexts each."""
         held: list[tuple[bytes, int, int, int, bytes]] = []
-        again: list[bool] = []  # of held: whether it is repeated as a whole
-        full: tuple[list[bytes], list[int], list[int]] = ([], [], [])
         size = 0
 
-        def batch(key: list[bytes], first: list[int], last: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["key", "first", "last"])
-
         def flush() -> pa.RecordBatch:
             key, anchor, first, left, context = zip(*held)
             who, lo, hi = repeated_ends(np.array(anchor), list(context), np.array(left), length)
-            start, keys = np.array(first)[who], [key[i] for i in who.tolist()]
-            found = batch(keys, (start + lo - length + 1).tolist(), (start + hi + 1).tolist())
+            start = np.array(first)[who]
             held.clear()
-            again.clear()
-            return found
+            return pa.RecordBatch.from_arrays([pa.array([key[i] for i in who.tolist()], pa.binary()), pa.array(start + lo - length + 1), pa.array(start + hi + 1)], ["key", "first", "last"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and row[1] == held[-1][1] and row[3:] == held[-1][3:]:
-                    for key, _, first, *_ in [row] if again[-1] else [held[-1], row]:
-                        for to, x in zip(full, (key, first, first + len(row[4]))):
-                            to.append(x)
-                    again[-1] = True
-                    continue
-                if held and row[1] != held[-1][1] and size > BUDGET // 2:  # only whole groups are built
+                if held and row[1] != held[-1][1] and size > BUDGET:  # only whole groups are built
                     yield flush()
                     size = 0
                 held.append(row)
-                again.append(False)
                 size += len(row[4]) + 200
-            if full[0]:
-                yield batch(*full)
-                full = ([], [], [])
         if held:
             yield flush()
 
-    spans = contexts.repartition("anchor").sortWithinPartitions("anchor", "left", "context").mapInArrow(build, "key binary, first long, last long")
+    spans = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(build, "key binary, first long, last long").unionAll(again)
+    made = []
+    if not shared.filter(F.col("kinds") > kinds).isEmpty():
+        many = every.filter(F.col("kinds") > kinds).select(F.monotonically_increasing_id().alias("c"), "key", "first", "last")
+        made.append(materialize(many, "suffix-many"))
+        spans = spans.unionAll(judged_alone(texts, made[0], length))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -281,22 +313,69 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
 
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = materialize(listed.mapInArrow(join, "key binary, spans array<struct<first: long, last: long>>"), "suffix-spans")
-    discard(seen, shared)
+    discard(seen, same, shared, *made)
     return spans
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, passages: bool = False) -> DataFrame:
+def judged_alone(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """``key, first, last``: the repeated spans of distinct contexts ``c, key, first, last`` that are too many for a task.
+
+    Each string of a context becomes a row of its 128-bit hash. Hashes are counted with a combining map side, so a
+    string of any number of contexts is no hot group, and those counted once name the one context they are in: what a
+    context doesn't hold of them is repeated.
+    """
+    at = contexts.groupBy("key").agg(F.collect_list(F.struct("c", "first", "last")).alias("at"))
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                b = whole.slice(lo, 256)
+                data, of = text_bytes(b.column(0))
+                for i, found in enumerate(b.column(1)):
+                    f = found.values
+                    c, first, last = (f.field(j).to_numpy().astype(np.int64) for j in range(3))
+                    for k in range(0, len(c), 256):
+                        n = last[k : k + 256] - first[k : k + 256]
+                        cuts = [data[of[i] + x : of[i] + y + length - 1] for x, y in zip(first[k : k + 256].tolist(), last[k : k + 256].tolist())]
+                        h = [np.concatenate([string_hashes(d, length, m) for d in cuts]).astype(np.int64) for m in (_M, _M2)]
+                        place = np.concatenate([np.arange(x) for x in n.tolist()]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, h), pa.array(np.repeat(c[k : k + 256], n)), pa.array(place)], ["h1", "h2", "c", "place"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            who, starts, ends = [], [], []
+            for i, (x, y, single) in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                on = np.zeros(y - x + 2, dtype=np.int8)
+                on[1:-1] = 1
+                on[np.array(single or [], dtype=np.int64) + 1] = 0
+                turn = np.flatnonzero(np.diff(on))
+                who += [i] * (len(turn) // 2)
+                starts.append(turn[::2] + x)
+                ends.append(turn[1::2] + x + length - 1)
+            none = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int32())), pa.array(np.concatenate([none, *starts])), pa.array(np.concatenate([none, *ends]))], ["key", "first", "last"])
+
+    rows = texts.join(at, "key").select("text", "at").mapInArrow(strings, "h1 long, h2 long, c long, place int")
+    single = rows.groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.min("c").alias("c"), F.min("place").alias("place")).filter("rows = 1")
+    single = single.groupBy("c").agg(F.collect_list("place").alias("single"))
+    return contexts.join(single, "c", "left").select("key", "first", "last", "single").mapInArrow(runs, "key binary, first long, last long")
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, with_text: bool = False, passages: bool = False, kinds: int = KINDS) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else in the texts.
 
     Strings are judged on the input, as bytes of UTF-8, never across documents; overlaps count.
 
     1. Anchors: one pass over the texts finds each string's anchor, a gram of least hash, which equal strings have at
        equal places. Anchors that occur once can't be in a repeated string.
-    2. Contexts: for each other anchor, the bytes of the strings that it serves, aligned at it.
+    2. Contexts: for each other anchor, the bytes of the strings that it serves, aligned at it. A context that occurs
+       several times is repeated as a whole, and one of its kind goes on.
     3. Column-wise construction of all contexts that share an anchor, one symbol of each inserted per round, with
-       orders and common lengths updated from the round before; columns of large groups are read from a file in
+       orders and common lengths updated from the round before; columns of large batches are read from a file in
        sequence. Strings whose common length reaches ``length`` are repeated.
-    4. Spans of a text are joined; texts that several rows share are repeated as a whole.
+    4. An anchor of more than ``kinds`` distinct contexts would fill a task: its strings are counted by their hashes
+       instead (:func:`judged_alone`), which gives the same spans and spreads over all tasks.
+    5. Spans of a text are joined; texts that several rows share are repeated as a whole.
 
     Returns ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, ``with_text``, ``kept``, the remaining bytes. With
     ``passages`` a column ``repeats_passage`` follows (:func:`clipquery.llm.passages.shared_passages`): a passage of
@@ -304,7 +383,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have 0 bytes. Ids may be null or repeated: rows count as separate documents. Other columns
     are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, text_col, length)
+    spans = repeated_spans(docs, text_col, length, kinds)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -92,22 +92,33 @@ def removed_by_hand(texts, length):
     return out
 
 
-@pytest.mark.parametrize("budget", [48 << 20, 100])
-def test_suffix_dedup(spark, empty, monkeypatch, budget):
+@pytest.mark.parametrize("budget, kinds", [(24 << 20, 16_384), (100, 16_384), (100, 2), (100, 1)])
+def test_suffix_dedup(spark, empty, monkeypatch, budget, kinds):
     monkeypatch.setattr(suffix_dedup, "BUDGET", budget)
-    rng = random.Random(budget)
+    rng = random.Random(budget + kinds)
     text = lambda n, a="abc é": "".join(rng.choice(a) for _ in range(n))
     shared = [text(rng.randrange(70, 300)) for _ in range(6)] + ["ab" * 100, "z" * 150]
     texts = [text(rng.randrange(0, 200)) + rng.choice(shared) + text(rng.randrange(0, 90)) + rng.choice(["", rng.choice(shared)]) for _ in range(60)]
     texts += [None, "", "z" * 64, "z" * 65, texts[0], texts[0], texts[1], text(63), shared[0] + text(400_000, "abcdefgh ijkl")]
     rows = [(i if i != 5 else None, t, "a") for i, t in enumerate(texts)] + [(3, texts[3], "a")]
     want = sorted(((r[0], *x) for r, x in zip(rows, removed_by_hand([(r[1] or "").encode() for r in rows], 64))), key=key)
-    got = suffix_dedup.suffix_dedup(docs_of(spark, rows), length=64)
+    got = suffix_dedup.suffix_dedup(docs_of(spark, rows), length=64, kinds=kinds)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted(map(tuple, got.collect()), key=key) == want
-    whole = suffix_dedup.suffix_dedup(docs_of(spark, rows), length=64, with_text=True).collect()
+    whole = suffix_dedup.suffix_dedup(docs_of(spark, rows), length=64, with_text=True, kinds=kinds).collect()
     assert all(hashlib.sha256(bytes(r.kept if r.kept is not None else b"")).hexdigest() == r.kept_sha256 for r in whole if r.n_removed)
-    assert suffix_dedup.suffix_dedup(empty).count() == 0
+    assert suffix_dedup.suffix_dedup(empty, kinds=kinds).count() == 0
+
+
+def test_columns_from_a_file(monkeypatch):
+    rng = random.Random(3)
+    shared = bytes(rng.choice(b"ab") for _ in range(90))
+    contexts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) + shared + bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(50)]
+    left, group = np.array([c.index(shared) for c in contexts]), np.repeat([1, 2], 25)
+    want = suffix_dedup.repeated_ends(group, contexts, left, 64)
+    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", 0)
+    assert suffix_dedup.Columns(contexts, left).file
+    assert all((x == y).all() for x, y in zip(want, suffix_dedup.repeated_ends(group, contexts, left, 64)))
 
 
 @pytest.mark.parametrize("shift", [1, 40])
