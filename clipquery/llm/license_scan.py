@@ -35,6 +35,8 @@ _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 _TAG_LINE = re.compile(r"spdx-license-identifier\s*:\s*([^\n\r*#<>\"]+)", re.I)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Prose that follows an identifier and means its own later versions, no second licence.
+_LATER = re.compile(r"\s+or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+versions?)?(?![\w.+-])", re.I)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,7 +57,7 @@ def family(identifier: str) -> tuple[str, float]:
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Labels and permissiveness of a licence expression, by Dijkstra's shunting yard; None if it is malformed.
 
-    WITH binds tighter than AND, AND tighter than OR. AND obliges to both, so it takes the lower value; OR is a
+    "or any later version" after an identifier belongs to it. WITH binds tighter than AND, AND tighter than OR. AND obliges to both, so it takes the lower value; OR is a
     choice and takes the higher; WITH adds an exception to the licence on its left.
     """
     values: list[tuple[set[str], float]] = []
@@ -66,7 +68,7 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
         values.append((left, min(1.0, x + EXCEPTION)) if op == "with" else (left | right, min(x, y) if op == "and" else max(x, y)))
 
     operand = True  # whether a licence is due next
-    for part in _PART.findall(expression):
+    for part in _PART.findall(_LATER.sub("", expression)):
         low = part.lower()
         if low == "(":
             if not operand:

@@ -331,6 +331,8 @@ def test_license_expressions():
     assert licences.evaluate("MIT OR GPL-2.0 AND Apache-2.0") == ({"mit", "gpl", "apache"}, 1.0)
     assert licences.evaluate("(MIT OR GPL-2.0) AND Apache-2.0") == ({"mit", "gpl", "apache"}, 1.0)
     assert licences.evaluate("GPL-2.0 WITH Classpath-exception-2.0 AND MIT") == ({"gpl", "mit"}, 0.5)
+    assert [licences.evaluate(f"GPL-2.0 {x}") for x in ("or any later version", "or later", "or (at your option) any later version.")] == [({"gpl"}, 0.3)] * 3
+    assert licences.evaluate("GPL-2.0 or later or MIT") == ({"gpl", "mit"}, 1.0) and licences.evaluate("MIT or later-1.0") == ({"mit", "other"}, 1.0)
     assert licences.evaluate("GPL-2.0+ AND MIT") == ({"gpl", "mit"}, 0.3)
     assert [licences.evaluate(x) for x in ("MIT OR", "(MIT", "AND MIT", "()")] == [None] * 4
 
