@@ -306,10 +306,15 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400, k
         spans = spans.unionAll(judged_alone(texts, made[0], length))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for b in batches:
-            found = [merged(np.array([x["first"] for x in r]), np.array([x["last"] for x in r])) for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"first": x, "last": y} for x, y in zip(f.tolist(), g.tolist())] for f, g in found], kind)], ["key", "spans"])
+            f = b.column(1).flatten()
+            first, last = (f.field(i).to_numpy() for i in range(2))
+            at = np.concatenate(([0], np.cumsum(b.column(1).value_lengths(), dtype=np.int64)))
+            found = [merged(first[x:y], last[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+            none = np.zeros(0, dtype=np.int64)
+            runs = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *(x[i] for x in found)])) for i in range(2)], ["first", "last"])
+            ends = np.concatenate(([0], np.cumsum([len(x[0]) for x in found], dtype=np.int64))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), runs)], ["key", "spans"])
 
     listed = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = materialize(listed.mapInArrow(join, "key binary, spans array<struct<first: long, last: long>>"), "suffix-spans")
