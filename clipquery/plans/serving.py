@@ -131,8 +131,8 @@ def evaluation_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
-    """The metric summary as Markdown."""
-    return results.report(judging.metric_summary(spark, d), "Evaluation of the test split", 3)
+    """The metric summary as Markdown, null without metrics."""
+    return results.report(judging.metric_summary(spark, d), "Evaluation of the test split", 3, bare=False)
 
 
 def answer_export(spark: SparkSession, d: str) -> DataFrame:

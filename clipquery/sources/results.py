@@ -61,12 +61,18 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
-def report(summary: DataFrame, title: str, n: int) -> DataFrame:
-    """One row ``report``: a Markdown table of a summary (metric, mean, std, median, min, max, count)."""
-    number = lambda c: F.format_string("%.3f", F.col(c))
+def report(summary: DataFrame, title: str, n: int, bare: bool = True) -> DataFrame:
+    """One row ``report``: a Markdown table of a summary (metric, mean, std, median, min, max, count).
+
+    Numbers are rounded by their exact values, as Python and C print them (0.4875 is less than its digits say), which
+    ``format_string`` doesn't: it rounds the digits half up. Without metrics the head stands alone, or the report is
+    null if not ``bare``.
+    """
+    number = F.udf(lambda x: "null" if x is None else f"{x:.3f}", "string")
     line = F.concat(F.lit("| "), "metric", *(x for c in ("mean", "std", "median", "min", "max") for x in (F.lit(" | "), number(c))), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))
     head = f"# {title}\n\nQueries: {n}\n\n| metric | mean | std | median | min | max | count |\n|-|-|-|-|-|-|-|\n"
-    return summary.agg(F.sort_array(F.collect_list(line)).alias("l")).select(F.concat(F.lit(head), F.array_join("l", "\n"), F.lit("\n")).alias("report"))
+    text = F.concat(F.lit(head), F.array_join("l", "\n"), F.lit("\n"))
+    return summary.select(line.alias("line")).agg(F.sort_array(F.collect_list("line")).alias("l")).select((text if bare else F.when(F.size("l") > 0, text)).alias("report"))
 
 
 def save_evaluation(results: DataFrame, summary: DataFrame, folder: str, title: str) -> None:

@@ -2,14 +2,19 @@
 
 import json
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from clipquery.operators import answer, attribute, clean, dense, match, models, serve
+from clipquery.plans import serving
 from clipquery.sources import features, results
 
+MIDDLE = "/root/testdata/sf0.01"
+
 
 def rows_of(df, *names):
     return sorted(tuple(r[n] for n in names) for r in df.collect())
@@ -54,6 +59,25 @@ def test_splits_and_evaluation(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/eval/results").count() == 4
 
 
+def test_report_rounds_exact_values(spark):
+    kind = "metric string, mean double, std double, median double, min double, max double, count long"
+    halves = [k / 2000 for k in range(1, 2000, 2)] + [0.4875, -0.0625, -0.0001, 1e20, float("nan")]
+    rows = [(f"m{k:04}", x, x, x, x, x, 1) for k, x in enumerate(halves)]
+    text = results.report(spark.createDataFrame(rows, kind), "T", 3).first()[0]
+    assert text.splitlines()[6:] == [f"| {m} |" + f" {x:.3f} |" * 5 + " 1 |" for m, x, *_ in rows] and "| 0.487 |" in text
+    none = spark.createDataFrame([], kind)
+    assert results.report(none, "T", 3).first()[0].startswith("# T") and results.report(none, "T", 3, bare=False).first()[0] is None
+
+
+def test_evaluation_report_as_its_sql(spark, tmp_path):
+    for p in Path(MIDDLE).glob("*.parquet"):
+        if p.stem != "benchmark":
+            (tmp_path / p.name).symlink_to(p)
+    spark.read.parquet(f"{MIDDLE}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for d in (MIDDLE, str(tmp_path)):  # means of half a thousandth; no query at all
+        assert oracle.differences(serving.evaluation_report(spark, d), oracle.connect(d), serving.SQL["evaluation_report"]) == []
+
+
 def test_resume(spark, tmp_path):
     todo, seen = spark.range(10).toDF("query_id"), []
 
