@@ -46,7 +46,7 @@ def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
 def frame_times(start: Column, end: Column, strategy: str = "adaptive", per_segment: int = 2, least: int = 2, most: int = 8) -> Column:
     """Times of the frames to read in a segment, evenly from start to end; its start alone if it is empty or one is due."""
     span = end - start
-    n = {"adaptive": F.greatest(F.lit(least), F.least((span / 3).cast("int"), F.lit(most))), "quality_based": F.lit(min(2 * per_segment, most))}.get(strategy, F.lit(per_segment))
+    n = {"adaptive": F.greatest(F.lit(least), F.least(span / 3, F.lit(float(most))).cast("int")), "quality_based": F.lit(min(2 * per_segment, most))}.get(strategy, F.lit(per_segment))
     return F.when((span <= 0) | (n <= 1), F.array(start)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: start + i * span / (n - 1)))
 
 

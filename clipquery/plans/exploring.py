@@ -98,7 +98,7 @@ def frame_sampling(spark: SparkSession, d: str) -> DataFrame:
     """Frames of each event as a segment of as many seconds as its value."""
     t = lambda s: explore.frame_times(F.lit(0.0), F.col("value"), s)
     last = lambda s: F.round(F.element_at(t(s), -1), 6)
-    return table(spark, d, "events").select("event_id", *(F.size(t(s)).cast("int").alias(f"n_{s}") for s in ("adaptive", "quality_based", "uniform")), last("adaptive").alias("last_time"), F.round(F.element_at(t("adaptive"), 2), 6).alias("second_time"))
+    return table(spark, d, "events").select("event_id", *(F.size(t(s)).cast("int").alias(f"n_{s}") for s in ("adaptive", "quality_based", "uniform")), last("adaptive").alias("last_time"), F.round(F.try_element_at(t("adaptive"), F.lit(2)), 6).alias("second_time"))
 
 
 def sharpest_frames(spark: SparkSession, d: str) -> DataFrame:
