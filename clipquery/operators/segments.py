@@ -64,10 +64,20 @@ def chunk_overlap(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     return times(segments, chunks).select("segment_id", F.size("ts").alias("n_chunks"), F.element_at("ts", 1)["start"].alias("first_start"), F.array_max(F.transform("ts", lambda t: t["end"])).alias("last_end"), middle(F.col("ts"))["start"].alias("middle_start"))
 
 
+def met(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Windows beside each chunk that meets them."""
+    return segments.select("video_id", "segment_id", "start_token", "end_token").join(chunks, "video_id").filter("start <= end_token and end >= start_token")
+
+
 def times(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """``video_id, segment_id, ts``: the ranges of the chunks that meet a window, in order."""
-    j = segments.select("video_id", "segment_id", "start_token", "end_token").join(chunks, "video_id").filter("start <= end_token and end >= start_token")
-    return j.groupBy("video_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ts"))
+    return met(segments, chunks).groupBy("video_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ts"))
+
+
+def time_range(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``video_id, segment_id, start_token, end_token, range_start, range_end``: the first start and the last end of :func:`times`."""
+    last = F.max(F.struct("start", "end"))["end"]
+    return met(segments, chunks).groupBy("video_id", "segment_id", "start_token", "end_token").agg(F.min("start").alias("range_start"), last.alias("range_end"))
 
 
 def middle(ts: Column) -> Column:

@@ -59,7 +59,8 @@ def precise_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extended_text(spark: SparkSession, d: str) -> DataFrame:
-    out = serve.extended_text(timed(spark, d))
+    docs = search.documents(spark, d).withColumnRenamed("doc_id", "video_id")
+    out = serve.extended_text(segments.time_range(search.windowed(spark, d), search.chunks_of(spark, d)), docs)
     return out.select("segment_id", "n_segments", F.md5("extended_text").alias("text_md5"), "range_start", "range_end")
 
 

@@ -1,7 +1,11 @@
 """Odd values and the plans of queries that failed on larger tables."""
 
+import re
+
 import oracle
+from clipquery.operators import serve
 from clipquery.plans import catalogue
+from conftest import SMALL
 
 
 def test_frame_sampling_of_empty_and_long_segments(spark, tmp_path):
@@ -9,3 +13,19 @@ def test_frame_sampling_of_empty_and_long_segments(spark, tmp_path):
     q = catalogue.QUERIES["frame_sampling"](spark, str(tmp_path))
     assert oracle.differences(q.filter("event_id < 4"), oracle.connect(str(tmp_path)), catalogue.SQL["frame_sampling"] + " WHERE event_id < 4") == []
     assert q.filter("event_id = 4").first().n_adaptive == 8
+
+
+def shuffles_of(df, column):
+    """How many shuffles of the plan hold a column."""
+    jvm = df.sparkSession._jvm
+    plan = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return sum(f"{column}#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan))
+
+
+def test_extended_text_moves_texts_once(spark):
+    docs = spark.createDataFrame([("v", " ".join(f"w{i}" for i in range(20)))], "video_id string, text string")
+    s = spark.createDataFrame([("v", f"v_{i}", i * 4, i * 4 + 4, float(i), i + 0.5) for i in range(5)] + [("v", "lone", 1, 3, None, None)], "video_id string, segment_id string, start_token int, end_token int, range_start double, range_end double")
+    got = {r.segment_id: (r.n_segments, r.extended_text, r.range_start, r.range_end) for r in serve.extended_text(s, docs).collect()}
+    assert got["v_2"] == (5, " ".join(f"w{i}" for i in range(20)), 0.0, 4.5)
+    assert got["v_0"] == (3, " ".join(f"w{i}" for i in range(12)), 0.0, 2.5) and got["lone"] == (1, "w1 w2", None, None)
+    assert shuffles_of(catalogue.QUERIES["extended_text"](spark, SMALL), "text") <= 1
