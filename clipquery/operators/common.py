@@ -22,3 +22,12 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "
 def small(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it has few rows; at most BROADCAST_ROWS + 1 of them are counted."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def held(df: DataFrame, by: DataFrame, each: int) -> DataFrame:
+    """``df`` as a frame of its rows with a broadcast hint, so that plans that read it several times compute it once, if
+    it has few: at most ``each`` for a row of ``by``, which is what is counted."""
+    most = BROADCAST_ROWS // each
+    if by.limit(most + 1).count() > most:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(df.collect(), df.schema))

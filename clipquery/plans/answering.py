@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from clipquery.functions import text as T
 from clipquery.operators import answer, attribute, curate, fusion
-from clipquery.operators.common import ranked
-from clipquery.plans.search import bm25_sql, bm25_topk, questions
+from clipquery.operators.common import held, ranked
+from clipquery.plans.search import K, bm25_sql, bm25_topk, questions
 from clipquery.sources.tables import table
 
 BUDGET = 2000
@@ -20,10 +20,11 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
     Scores are scaled by query. The visual score stands in for a second modality by the text's length; English texts
     have a time range, by words.
     """
-    hits = fusion.min_max(bm25_topk(spark, d), "bm25_score", ["query_id"])
+    asked = questions(spark, d).withColumnRenamed("text", "question")
+    hits = held(fusion.min_max(bm25_topk(spark, d), "bm25_score", ["query_id"]), asked, K)
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
     score, n = F.round("bm25_score", 6), F.size(T.words(F.col("text"))).cast("double")
-    return hits.join(docs, "doc_id").join(F.broadcast(questions(spark, d).withColumnRenamed("text", "question")), "query_id").select(
+    return hits.join(docs, "doc_id").join(F.broadcast(asked), "query_id").select(
         "query_id", F.col("doc_id").alias("segment_id"), F.col("doc_id").alias("video_id"), "question", "text", score.alias("combined_score"), score.alias("text_score"),
         F.round(F.least(F.lit(1.0), F.col("n_chars") / 2000.0), 6).alias("visual_score"), F.when(F.col("lang") == "en", 0.0).alias("start"), F.when(F.col("lang") == "en", n).alias("end"), "rank",
     )

@@ -123,8 +123,12 @@ def extended_context(spark: SparkSession, d: str) -> DataFrame:
 def proxy_hits(spark: SparkSession, d: str) -> DataFrame:
     """A deterministic stand-in for text vectors: documents hit at 1 - Jaccard of query and document tokens.
 
-    Only documents that share a token with a query get a distance, found by joining on tokens.
+    Only documents that share a token with a query get a distance. Where the queries' tokens are many, those are found by
+    joining on tokens.
     """
+    found = sparse.shared(documents(spark, d), questions(spark, d), K)
+    if found is not None:
+        return found.select("query_id", F.col("doc_id").alias("segment_id"), "distance", "rank")
     q = questions(spark, d).select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     t = documents(spark, d).select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("term"))
     nq = q.groupBy("query_id").agg(F.count("*").alias("nq"))

@@ -1,9 +1,13 @@
 """Odd values and the plans of queries that failed on larger tables."""
 
+import random
 import re
+from decimal import ROUND_HALF_UP, Decimal
+
+import pytest
 
 import oracle
-from clipquery.operators import serve
+from clipquery.operators import nearest, serve, sparse
 from clipquery.plans import catalogue
 from conftest import SMALL
 
@@ -29,3 +33,37 @@ def test_extended_text_moves_texts_once(spark):
     assert got["v_2"] == (5, " ".join(f"w{i}" for i in range(20)), 0.0, 4.5)
     assert got["v_0"] == (3, " ".join(f"w{i}" for i in range(12)), 0.0, 2.5) and got["lone"] == (1, "w1 w2", None, None)
     assert shuffles_of(catalogue.QUERIES["extended_text"](spark, SMALL), "text") <= 1
+
+
+def test_bm25_and_shared_terms_in_blocks(spark, monkeypatch):
+    """Blocks of two queries and of single documents give the rows of one block, ties and rare terms too."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "a b"), (62, "a b")]
+    docs = spark.createDataFrame(docs, "doc_id int, text string").repartition(3)
+    asked = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a b", "c c d", "zz", "e f g h a", "h", "", "b a"])], "query_id string, text string")
+    search_ = lambda: (sparse.bm25(docs, asked, 4), sparse.shared(docs, asked, 4))
+    whole = [sorted(map(tuple, x.collect())) for x in search_()]
+    by_join = [r for r in sparse.bm25(docs, asked, None).collect() if r["rank"] <= 4]
+    assert whole[0] == sorted(map(tuple, by_join))
+    monkeypatch.setattr(nearest, "QUERIES", 2)
+    monkeypatch.setattr(nearest, "CELLS", 1)
+    assert [sorted(map(tuple, x.collect())) for x in search_()] == whole
+    texts = {r.doc_id: set((r.text or "").split()) for r in docs.collect()}
+    for query, terms in (("0", {"a", "b"}), ("3", set("efgha"))):
+        near = sorted((rounded_up(1 - len(terms & t) / len(terms | t)), i) for i, t in texts.items() if terms & t)[:4]
+        assert near == [(d, i) for q, i, d, _ in sorted(whole[1], key=lambda r: r[3]) if q == query]
+    assert sparse.shared(docs.limit(0), asked, 4).count() == 0
+
+
+def rounded_up(x):
+    return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "generated_answers"])
+def test_pairs_of_query_and_document_are_not_shuffled(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = catalogue.QUERIES[name](spark, SMALL)
+        assert shuffles_of(q, "dl") + shuffles_of(q, "nd") + shuffles_of(q, "n_chars") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
