@@ -5,10 +5,12 @@ import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
-from clipquery.operators import nearest, serve, sparse
+from clipquery.operators import match, nearest, serve, sparse
 from clipquery.plans import catalogue
+from clipquery.sources.tables import table
 from conftest import SMALL
 
 
@@ -67,3 +69,20 @@ def test_pairs_of_query_and_document_are_not_shuffled(spark, name):
         assert shuffles_of(q, "dl") + shuffles_of(q, "nd") + shuffles_of(q, "n_chars") == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_containing_by_join(spark, monkeypatch):
+    """The same rows whether runs are looked up in the document's row or joined."""
+    docs, asked = table(spark, SMALL, "documents").select("doc_id", "text"), table(spark, SMALL, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    got = [sorted(map(tuple, match.containing(docs, asked).collect()))]
+    monkeypatch.setattr(match, "RUNS", 0)
+    got.append(sorted(map(tuple, match.containing(docs, asked).collect())))
+    assert got[0] == got[1] and got[0]
+
+
+@pytest.mark.parametrize("name", ["average_precision"])
+def test_passages_are_looked_for_once(spark, name):
+    q = catalogue.QUERIES[name](spark, SMALL)
+    q.collect()
+    final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("explode(array_distinct(filter(") == 1
