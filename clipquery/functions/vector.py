@@ -11,13 +11,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """The vector over its length; null for a vector of length 0."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    """The vector over its length; null for a vector of length 0.
 
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    The length is an element of an array, so that it is worked out once and not again for each component.
+    """
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))), F.lit(0))
 
 
 def similarity(distance: Column) -> Column:

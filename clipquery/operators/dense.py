@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipquery.functions.vector import normalized, squared_distance
-from clipquery.operators.common import BROADCAST_ROWS, top
+from clipquery.functions.vector import normalized
+from clipquery.operators.common import top
+from clipquery.operators.nearest import CELLS, First
 
-
-#: Queries that make one matrix: at 1,024 components 16 MB.
-MATRIX_ROWS = 2_000
+#: Queries that make one matrix, and numbers of queries' vectors that are held by the driver and each task (64 MB).
+MATRIX_ROWS, HELD = 2_000, 8_000_000
+#: Rows of the corpus that meet a block of queries at once, where queries aren't held.
+BLOCK_ROWS = 20_000
 
 
 def normalized_vectors(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -25,24 +29,71 @@ def normalized_vectors(vectors: DataFrame, vector_col: str = "embedding") -> Dat
 def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``query_id, row_id, distance, rank``: each query's ``k`` nearest rows by squared distance, ties to smaller ids.
 
-    ``queries`` is (query_id, qv), ``corpus`` (row_id, v). Up to MATRIX_ROWS queries are one matrix, multiplied with
-    each Arrow batch of the corpus, which keeps ``k`` rows per query; more are broadcast, then dealt to blocks that
-    meet every corpus row.
+    ``queries`` is (query_id, qv), ``corpus`` (row_id, v). All pairs are compared, as products of matrices of at most
+    MATRIX_ROWS queries; a task keeps ``k`` rows per query of what it reads. Queries of up to HELD numbers are held by
+    each task, which then reads its part of the corpus once; else both sides are packed into blocks and every two blocks
+    meet in some task, so that memory stays bounded.
     """
-    n = queries.count()
-    if n <= MATRIX_ROWS:
-        kind = {"query_id": "long"} | dict(queries.dtypes) | dict(corpus.dtypes)
-        held = queries.collect()
-        if held and kind["query_id"] == kind["row_id"] == "bigint":
-            return batched_similarity(corpus, np.array([r.qv for r in held], dtype=np.float64), np.array([r.query_id for r in held]), k)
-    if n <= BROADCAST_ROWS:
-        pairs = corpus.crossJoin(F.broadcast(queries))
+    q = queries.select("query_id", "qv")
+    one = q.select(F.size("qv")).first()
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, row_id {dict(corpus.dtypes)['row_id']}, distance double"
+    if one is None or q.limit(HELD // max(one[0], 1) + 1).count() * max(one[0], 1) <= HELD:
+        t = q.toArrow()
+        ids, v = t.column("query_id").combine_chunks(), matrix(t.column("qv").combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from closest(ids, v, ((b.column(0), matrix(b.column(1))) for b in batches), k, MATRIX_ROWS)
+
+        part = corpus.select("row_id", "v").mapInArrow(run, kinds)
     else:
-        blocks = -(-n // BROADCAST_ROWS)
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = corpus.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    d = pairs.select("query_id", "row_id", F.round(squared_distance(F.col("qv"), F.col("v")), 6).alias("distance"))
-    return top(d, ["query_id"], [F.col("distance"), F.col("row_id")], k)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(len(b)):
+                    query_id, qv, row_id, v = (b.column(c)[i].values for c in range(4))
+                    yield from closest(query_id, matrix(qv), [(row_id, matrix(v))], k, MATRIX_ROWS)
+
+        part = packed(q, MATRIX_ROWS).hint("shuffle_replicate_nl").crossJoin(packed(corpus.select("row_id", "v"), BLOCK_ROWS)).mapInArrow(meet, kinds)
+    return top(part, ["query_id"], [F.col("distance"), F.col("row_id")], k)
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+
+
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of up to ``n`` rows each, as arrays of their columns."""
+
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), n):
+                part = b.slice(at, n)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), c) for c in part.columns], names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} array<{t}>" for c, t in rows.dtypes))
+
+
+def closest(ids: pa.Array, vectors: np.ndarray, corpus: Iterable[tuple[pa.Array, np.ndarray]], k: int, n: int) -> Iterator[pa.RecordBatch]:
+    """``query_id, row_id, distance``: the ``k`` nearest of all rows of ``corpus`` for each vector, by ``n`` vectors a product.
+
+    |q - v|^2 is one product: that of (-2q, |q|^2, 1) and (v, 1, |v|^2).
+    """
+    blocks, rows = [], max(CELLS // n, 1)
+    for at in range(0, len(ids), n):
+        q = vectors[at : at + n]
+        blocks.append((np.hstack([-2 * q, (q**2).sum(1)[:, None], np.ones((len(q), 1))]).T, First(len(q), k)))
+    for row_ids, v in corpus:
+        for at in range(0, len(v) if blocks else 0, rows):
+            x = v[at : at + rows]
+            x = np.hstack([x, np.ones((len(x), 1)), (x**2).sum(1)[:, None]])
+            for q, best in blocks:
+                best.add(x @ q, row_ids.slice(at, len(x)))
+    for i, (_, best) in enumerate(blocks):
+        if cut := best.cut():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut[0] + i * n)), cut[2], pa.array(cut[1])], ["query_id", "row_id", "distance"])
 
 
 def pooled(vectors: DataFrame, by: str, vector_col: str = "embedding", method: str = "mean") -> DataFrame:
@@ -85,26 +136,10 @@ def drop_near_vectors(vectors: DataFrame, by: str, order: str, threshold: float,
 
 
 def batched_similarity(corpus: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
-    """Like :func:`knn` for a bounded matrix of unit queries, with one matrix product per Arrow batch."""
+    """Like :func:`knn` for a bounded matrix of queries."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            v = np.stack(b["v"].to_numpy())
-            n = min(k, len(v))
-            d = np.round((queries**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * queries @ v.T, 6)
-            if n < len(v):  # rows beyond the k-th distance can't be among the first k; ties with it stay
-                most = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                who, which = np.nonzero(d <= most)
-            else:
-                who, which = np.repeat(np.arange(len(d)), len(v)), np.tile(np.arange(len(v)), len(d))
-            row, far = b["row_id"].to_numpy()[which], d[who, which]
-            by = np.lexsort((row, far, who))
-            who, row, far = who[by], row[by], far[by]
-            first = np.searchsorted(who, np.arange(len(d)))
-            top_ = np.arange(len(who)) - first[who] < k
-            yield pd.DataFrame({"query_id": ids[who[top_]], "row_id": row[top_], "distance": far[top_]})
-
-    part = corpus.select("row_id", "v").mapInPandas(run, "query_id long, row_id long, distance double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from closest(pa.array(ids, pa.int64()), queries, ((b.column(0).cast(pa.int64()), matrix(b.column(1))) for b in batches), k, MATRIX_ROWS)
+
+    part = corpus.select("row_id", "v").mapInArrow(run, "query_id long, row_id long, distance double")
     return top(part, ["query_id"], [F.col("distance"), F.col("row_id")], k)

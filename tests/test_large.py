@@ -4,11 +4,12 @@ import random
 import re
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from clipquery.operators import match, nearest, serve, sparse
+from clipquery.operators import dense, match, nearest, serve, sparse
 from clipquery.plans import catalogue
 from clipquery.sources.tables import table
 from conftest import SMALL
@@ -86,3 +87,36 @@ def test_passages_are_looked_for_once(spark, name):
     q.collect()
     final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert final.count("explode(array_distinct(filter(") == 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_knn_of_many_queries(spark, monkeypatch, kind):
+    """Queries that aren't held, in blocks: the same rows as by brute force, by products of matrices and not by pairs of rows."""
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (50, 4)).astype(float)
+    ids = [x if kind == "long" else f"{x:02}" for x in range(50)]
+    corpus = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], f"row_id {kind}, v array<double>").repartition(3)
+    q = corpus.filter("cast(row_id as int) < 7").select(F.col("row_id").alias("query_id"), F.col("v").alias("qv"))
+    d = ((v[:7, None] - v[None]) ** 2).sum(2)
+    want = sorted((ids[a], ids[b], d[a, b], r + 1) for a in range(7) for r, b in enumerate(np.lexsort((np.arange(50), d[a]))[:5]))
+    got = lambda: sorted(map(tuple, dense.knn(q, corpus, 5).select("query_id", "row_id", "distance", "rank").collect()))
+    assert got() == want
+    for name, n in (("HELD", 1), ("MATRIX_ROWS", 2), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(dense, name, n)
+        assert got() == want
+
+
+@pytest.mark.parametrize("name", ["dense_knn_l2"])
+def test_searches_by_products_of_matrices(spark, monkeypatch, name):
+    """With many queries for a matrix and for the driver: the rows of the SQL, and no distance by pairs of rows."""
+    for limit, n in (("MATRIX_ROWS", 3), ("HELD", 1), ("BLOCK_ROWS", 100)):
+        monkeypatch.setattr(dense, limit, n)
+    q = catalogue.QUERIES[name](spark, SMALL)
+    assert "zip_with(qv" not in q._jdf.queryExecution().optimizedPlan().toString()
+    if name in catalogue.SQL:
+        assert oracle.differences(q, oracle.connect(SMALL), catalogue.SQL[name]) == []
+
+
+def test_length_of_a_vector_is_worked_out_once(spark):
+    plan = dense.normalized_vectors(spark.range(1).select(F.array(F.col("id")).alias("embedding")))._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("SQRT(") for line in plan.split("\n")) <= 1 and "array(SQRT(" in plan
