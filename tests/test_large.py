@@ -106,7 +106,7 @@ def test_knn_of_many_queries(spark, monkeypatch, kind):
         assert got() == want
 
 
-@pytest.mark.parametrize("name", ["dense_knn_l2", "results_export", "video_multimodal", "segment_multimodal", "similarity_transforms"])
+@pytest.mark.parametrize("name", ["dense_knn_l2", "results_export", "video_multimodal", "segment_multimodal", "similarity_transforms", "overfetch_rerank"])
 def test_searches_by_products_of_matrices(spark, monkeypatch, name):
     """With many queries for a matrix and for the driver: the rows of the SQL, and no distance by pairs of rows."""
     for limit, n in (("MATRIX_ROWS", 3), ("HELD", 1), ("BLOCK_ROWS", 100)):
