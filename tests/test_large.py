@@ -81,7 +81,7 @@ def test_containing_by_join(spark, monkeypatch):
     assert got[0] == got[1] and got[0]
 
 
-@pytest.mark.parametrize("name", ["average_precision", "retrieval_metrics"])
+@pytest.mark.parametrize("name", ["average_precision", "retrieval_metrics", "reciprocal_rank"])
 def test_passages_are_looked_for_once(spark, name):
     q = catalogue.QUERIES[name](spark, SMALL)
     q.collect()
