@@ -62,7 +62,7 @@ def rounded_up(x):
     return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "generated_answers", "diversity_sample", "evidence_list", "relevance_score", "adaptive_select", "bm25_expanded", "citation_injection", "conflict_resolution", "evaluation_rates", "fused_distance"])
+@pytest.mark.parametrize("name", ["bm25_topk", "generated_answers", "diversity_sample", "evidence_list", "relevance_score", "adaptive_select", "bm25_expanded", "citation_injection", "conflict_resolution", "evaluation_rates", "fused_distance", "fusion_contribution"])
 def test_pairs_of_query_and_document_are_not_shuffled(spark, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
