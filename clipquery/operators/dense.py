@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipquery.functions.vector import normalized
 from clipquery.operators.common import top
-from clipquery.operators.nearest import CELLS, First
+from clipquery.operators.nearest import closest, matrix
 
 #: Queries that make one matrix, and numbers of queries' vectors that are held by the driver and each task (64 MB).
 MATRIX_ROWS, HELD = 2_000, 8_000_000
@@ -57,11 +56,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return top(part, ["query_id"], [F.col("distance"), F.col("row_id")], k)
 
 
-def matrix(vectors: pa.Array) -> np.ndarray:
-    """Lists of one length as the rows of a matrix."""
-    return pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
-
-
 def packed(rows: DataFrame, n: int) -> DataFrame:
     """Rows of up to ``n`` rows each, as arrays of their columns."""
 
@@ -76,26 +70,6 @@ def packed(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} array<{t}>" for c, t in rows.dtypes))
 
 
-def closest(ids: pa.Array, vectors: np.ndarray, corpus: Iterable[tuple[pa.Array, np.ndarray]], k: int, n: int) -> Iterator[pa.RecordBatch]:
-    """``query_id, row_id, distance``: the ``k`` nearest of all rows of ``corpus`` for each vector, by ``n`` vectors a product.
-
-    |q - v|^2 is one product: that of (-2q, |q|^2, 1) and (v, 1, |v|^2).
-    """
-    blocks, rows = [], max(CELLS // n, 1)
-    for at in range(0, len(ids), n):
-        q = vectors[at : at + n]
-        blocks.append((np.hstack([-2 * q, (q**2).sum(1)[:, None], np.ones((len(q), 1))]).T, First(len(q), k)))
-    for row_ids, v in corpus:
-        for at in range(0, len(v) if blocks else 0, rows):
-            x = v[at : at + rows]
-            x = np.hstack([x, np.ones((len(x), 1)), (x**2).sum(1)[:, None]])
-            for q, best in blocks:
-                best.add(x @ q, row_ids.slice(at, len(x)))
-    for i, (_, best) in enumerate(blocks):
-        if cut := best.cut():
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut[0] + i * n)), cut[2], pa.array(cut[1])], ["query_id", "row_id", "distance"])
-
-
 def pooled(vectors: DataFrame, by: str, vector_col: str = "embedding", method: str = "mean") -> DataFrame:
     """``by, pos, value``: the mean (or largest) component of each group's vectors, position by position."""
     f = F.max if method == "max" else F.avg
